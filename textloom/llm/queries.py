@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat_format, exact_dedup, licenses, mixing, near_dup, packing, quality_rules
+from textloom.llm import chat_format, exact_dedup, gam, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, site_tree
 from textloom.llm.common import table_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,7 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": table_query(quality_rules.judge, "documents"),
     "op4_ngram_jaccard_join": table_query(near_dup.near_pairs, "documents"),
     "op5_chat_format": table_query(chat_format.format_chats, "conversations"),
+    "op6_html_extract": table_query(site_tree.extract, "pages"),
     "op7_source_mix": table_query(mixing.mix, "documents"),
+    "op8_quality_gam": lambda spark, sf_dir: gam.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op9_lm_score": table_query(lm_scoring.score, "documents"),
     "op10_exact_dedup": table_query(exact_dedup.dedup, "documents"),
 }
 
