@@ -48,31 +48,45 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(start, offs)
 
 
-def shingle_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(col: pa.Array, n: int, seen_words=None, weight_of=None) -> Iterator:
     """Of each lower-case text the sorted distinct hashes of its word n-grams.
 
     A text of fewer than n words, but one at least, has the one n-gram of all
-    its words; a null or a text without words has none.
+    its words; a null or a text without words has none. seen_words is called
+    with the hashes of many words at a time. With weight_of, a weight of each
+    word by its hash, pairs are given: the hashes, and the sums of their
+    words' weights.
     """
     data, offs = text_buffers(col)
     i = 0
     while i < len(offs) - 1:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK_BYTES, side="right")) - 1)
         w, at = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        if seen_words:
+            seen_words(w)
         k = max(0, len(w) - n + 1)
         acc = np.zeros(k, dtype=np.uint64)
         for q in range(n):
             acc = mix64(acc * _B + w[q : q + k] + np.uint64(1))
+        if weight_of:
+            each = weight_of(w)
+            sums = np.zeros(k, dtype=each.dtype)
+            for q in range(n):
+                sums += each[q : q + k]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a >= n:
-                yield np.unique(acc[a : b - n + 1])
-            elif b > a:
-                x = np.zeros(1, np.uint64)
+                if weight_of:
+                    s, first = np.unique(acc[a : b - n + 1], return_index=True)
+                    yield s, sums[a : b - n + 1][first]
+                else:
+                    yield np.unique(acc[a : b - n + 1])
+                continue
+            s = np.zeros(min(1, b - a), np.uint64)
+            if b > a:
                 for q in range(a, b):
-                    x = mix64(x * _B + w[q : q + 1] + np.uint64(1))
-                yield mix64(x + np.uint64(b - a))
-            else:
-                yield np.zeros(0, np.uint64)
+                    s = mix64(s * _B + w[q : q + 1] + np.uint64(1))
+                s = mix64(s + np.uint64(b - a))
+            yield (s, np.zeros(len(s), np.uint16)) if weight_of else s
         i = j
 
 
