@@ -1,6 +1,9 @@
 import os
+from pathlib import Path
 
 os.environ.setdefault("TZ", "UTC")
+# Python workers import the library too.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), *filter(None, [os.environ.get("PYTHONPATH")])])
 
 import pytest
 from pyspark.sql import SparkSession
