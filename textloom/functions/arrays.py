@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is evaluated once, however often fn has it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def pad_to(ids: Column, length: Column | int, pad: Column | int, pad_left: bool = False, truncate_left: bool = False) -> Column:
     """ids cut or filled to a length. Null stays null; see fields.Field for rows of missing data."""
     length = length if isinstance(length, Column) else F.lit(length)
@@ -20,23 +27,23 @@ def pad_to(ids: Column, length: Column | int, pad: Column | int, pad_left: bool
 def ngrams(tokens: Column, low: int, high: int, sep: str = " ") -> Column:
     """All n-grams for n from low to high, by n and then by place; none where tokens are fewer than n."""
 
-    def of(n: int) -> Column:
+    def of(t: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        # Shifted copies side by side: a slice for each gram would have tokens evaluated again for each.
-        many = F.size(tokens) - (n - 1)
-        shifted = F.arrays_zip(*(F.slice(tokens, i + 1, F.greatest(many, F.lit(0))).alias(f"t{i}") for i in range(n)))
+            return t
+        # Shifted copies side by side, rather than a slice for each gram.
+        many = F.size(t) - (n - 1)
+        shifted = F.arrays_zip(*(F.slice(t, i + 1, F.greatest(many, F.lit(0))).alias(f"t{i}") for i in range(n)))
         grams = F.transform(shifted, lambda x: F.concat_ws(sep, *(x[f"t{i}"] for i in range(n))))
-        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.when(tokens.isNotNull(), F.concat(*(of(n) for n in range(low, high + 1))))
+    return let(tokens, lambda t: F.when(t.isNotNull(), F.concat(*(of(t, n) for n in range(low, high + 1)))))
 
 
 def multi_hot(ids: Column, classes: int) -> Column:
     """1 at the ids that are there, 0 elsewhere; null for null."""
     if classes < 1:
         return F.when(ids.isNotNull(), F.array().cast("array<int>"))
-    return F.when(ids.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.array_contains(ids, i.cast("long")).cast("int")))
+    return let(ids, lambda a: F.when(a.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.array_contains(a, i.cast("long")).cast("int"))))
 
 
 def last_of(values: Column, k: int) -> Column:
