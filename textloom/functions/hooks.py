@@ -97,10 +97,11 @@ def to_ascii(text: Column, language: str = "en") -> Column:
 
 def cleanup(
     language: str = "en",
-    fix_unicode: bool = True,
-    ascii: bool = True,
-    remove_line_breaks: bool = False,
+    *,
     remove_punct: bool = False,
+    remove_line_breaks: bool = False,
+    ascii: bool = True,
+    fix_unicode: bool = True,
     replace_url: str | None = None,
     replace_email: str | None = None,
     replace_phone_number: str | None = None,

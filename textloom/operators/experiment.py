@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from textloom.operators.numbering import numbered, seeded_order
 
 
+AVERAGES = tuple("micro macro weighted binary".split())
+
+
 def folds(df: DataFrame, row_id: str, k: int, seed: int | None = None) -> DataFrame:
     """row_id, fold: blocks of equal size in the rows' (or a seeded) order; the first n % k have one row more."""
     n = df.count()
@@ -31,10 +34,10 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.groupBy(F.col(label).cast("long").alias("label"), F.col(prediction).cast("long").alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def classification_metrics(df: DataFrame, label: str, prediction: str, average: str = "micro", beta: float = 1.0) -> DataFrame:
+def classification_metrics(df: DataFrame, label: str, prediction: str, average: str = AVERAGES[0], beta: float = 1) -> DataFrame:
     """One row: accuracy, precision, recall, fscore. average: micro, macro, weighted, or binary (class 1). 0 where undefined."""
-    if average not in ("micro", "macro", "weighted", "binary"):
-        raise ValueError("average is micro, macro, weighted or binary")
+    if average not in AVERAGES:
+        raise ValueError(f"average is one of {AVERAGES}")
     c = confusion(df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull()), label, prediction)
     b2 = beta * beta
     total = c.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("hit"))
@@ -126,7 +129,7 @@ def k_fold_validation(experiment: Experiment, df: DataFrame, row_id: str, k: int
     return sum(scores) / len(scores)
 
 
-def k_fold_classification_metrics(experiment: Experiment, df: DataFrame, row_id: str, k: int, average: str = "micro", beta: float = 1.0, seed: int | None = None) -> dict[str, float]:
+def k_fold_classification_metrics(experiment: Experiment, df: DataFrame, row_id: str, k: int, average: str = AVERAGES[0], beta: float = 1, seed: int | None = None) -> dict[str, float]:
     """Means over folds of accuracy, precision, recall and F."""
     found: list[dict[str, float]] = []
     kfold_scores(experiment, df, row_id, k, lambda p: found.append(classification_metrics(p, experiment.label, "prediction", average, beta).first().asDict()) or 0.0, seed)

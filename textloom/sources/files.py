@@ -65,8 +65,8 @@ def labelled_texts(spark: SparkSession, path: str, labels: Sequence[str] = ("pos
     return out
 
 
-SENTIMENTS = {"0": "very negative", "1": "negative", "2": "neutral", "3": "positive", "4": "very positive"}
-COARSE = {"0": "negative", "1": "negative", "2": "neutral", "3": "positive", "4": "positive"}
+SENTIMENTS = dict(zip("01234", "very negative,negative,neutral,positive,very positive".split(",")))
+COARSE = {k: v.removeprefix("very ") for k, v in SENTIMENTS.items()}
 
 
 def sentiment_trees(spark: SparkSession, path: str, fine_grained: bool = False, subtrees: bool = False) -> DataFrame:
@@ -84,7 +84,7 @@ def sentence_pairs(spark: SparkSession, path: str, simple: bool = True) -> DataF
     return spark.read.schema(_PAIRS if simple else _PAIRS_FULL).json(path).withColumn("row_id", F.monotonically_increasing_id())
 
 
-CONLLU = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
+CONLLU = tuple("id form lemma upos xpos feats head deprel deps misc".split())
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
@@ -116,11 +116,11 @@ def conllu_blocks(blocks: DataFrame) -> DataFrame:
 # Dialogs of films
 
 _DIALOG = {
-    "titles": ("movie_titles_metadata.txt", ("movieID", "title", "year", "rating", "votes", "genres")),
-    "conversations": ("movie_conversations.txt", ("character1ID", "character2ID", "movieID", "utteranceIDs")),
-    "lines": ("movie_lines.txt", ("lineID", "characterID", "movieID", "character", "text")),
-    "characters": ("movie_characters_metadata.txt", ("characterID", "character", "movieID", "title", "gender", "position")),
-    "urls": ("raw_script_urls.txt", ("movieID", "title", "url")),
+    "titles": ("movie_titles_metadata.txt", tuple("movieID title year rating votes genres".split())),
+    "conversations": ("movie_conversations.txt", tuple("character1ID character2ID movieID utteranceIDs".split())),
+    "lines": ("movie_lines.txt", tuple("lineID characterID movieID character text".split())),
+    "characters": ("movie_characters_metadata.txt", tuple("characterID character movieID title gender position".split())),
+    "urls": ("raw_script_urls.txt", tuple("movieID title url".split())),
 }
 
 
