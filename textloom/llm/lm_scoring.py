@@ -52,13 +52,15 @@ _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], d
 def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """7-bit symbols of each text, and their offsets."""
     esc = data >= ESCAPE
-    n = esc.astype(np.int64) + 1
-    at = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(n, out=at[1:])
-    out = np.empty(int(at[-1]), np.uint8)
-    out[at[1:] - 1] = np.where(esc, data & 127, data)
-    out[at[:-1][esc]] = ESCAPE
-    return out, at[offs]
+    pos = np.flatnonzero(esc)
+    if not len(pos):
+        return data.copy(), offs
+    first = pos + np.arange(len(pos))
+    rest = np.ones(len(data) + len(pos), bool)
+    rest[first] = False
+    out = np.full(len(rest), ESCAPE, np.uint8)
+    out[rest] = np.where(esc, data & 127, data)
+    return out, offs + np.searchsorted(pos, offs)
 
 
 def context(back: list[np.ndarray]) -> np.ndarray:
