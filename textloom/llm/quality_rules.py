@@ -53,13 +53,22 @@ def _padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[ \t\n\r.,;:!?]+", "  "), F.lit(" "))
 
 
-def _word_counts(padded: Column, lang: Column, words: Mapping[str, Sequence[str]]) -> Column:
-    """Counts of the language's common words, and of all other words."""
+def _common(padded: Column, lang: Column, words: Mapping[str, Sequence[str]]) -> Column:
+    """The text's words that are common in its language, found in one pass."""
+    out = F.lit(None).cast("array<string>")
+    for code, w in words.items():
+        pattern = " (" + "|".join(f"\\Q{x}\\E" for x in w) + ") "
+        out = F.when(lang == code, F.regexp_extract_all(padded, F.lit(pattern), F.lit(1))).otherwise(out)
+    return out
+
+
+def _word_counts(common: Column, every: Column, lang: Column, words: Mapping[str, Sequence[str]]) -> Column:
+    """Counts of the language's common words, and of all words."""
     own = F.lit(None).cast("array<string>")
     for code, w in words.items():
         own = F.when(lang == code, F.array(*map(F.lit, w))).otherwise(own)
-    counts = F.transform(own, lambda w: (F.length(padded) - F.length(F.replace(padded, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + F.lit(2.0)))
-    return F.concat(counts, F.array(F.regexp_count(padded, F.lit(r"[^ ]+")).cast("double")))
+    counts = F.transform(own, lambda w: (F.size(common) - F.size(F.array_remove(common, w))).cast("double"))
+    return F.concat(counts, F.array(every.cast("double")))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -83,7 +92,8 @@ def _histograms(docs: DataFrame, words) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lang = F.coalesce(F.col("lang"), F.lit("\u0001null"))
     h = docs.withColumns({"__tl_lang": lang, "__tl_c": _char_counts(text), "__tl_p": _padded(text)})
-    h = h.withColumn("__tl_w", _word_counts(F.col("__tl_p"), F.col("__tl_lang"), words)).drop("__tl_p")
+    h = h.withColumns({"__tl_x": _common(F.col("__tl_p"), F.col("__tl_lang"), words), "__tl_n": F.regexp_count("__tl_p", F.lit(r"[^ ]+"))}).drop("__tl_p")
+    h = h.withColumn("__tl_w", _word_counts(F.col("__tl_x"), F.col("__tl_n"), F.col("__tl_lang"), words)).drop("__tl_x", "__tl_n")
     own = F.slice("__tl_w", 1, F.size("__tl_w") - 1)
     return h.withColumn("__tl_w", F.concat(own, F.array(F.element_at("__tl_w", -1) - _sum(own))))
 
