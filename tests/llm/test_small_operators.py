@@ -373,6 +373,16 @@ def test_scores_are_the_scalar_coder(spark, monkeypatch):
     assert np.allclose(got, [scalar_bits(t, tables) for t in texts], rtol=1e-3, atol=1e-2)
 
 
+def test_model_grows_with_the_corpus(spark):
+    rng = random.Random(12)
+    texts = ["".join(chr(rng.randrange(32, 127)) for _ in range(2000)) for _ in range(40)]
+    tables = lm_scoring.corpus_tables(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    seen = {("\0" * 5 + t)[i : i + 5] for t in texts for i in range(len(t))}
+    assert len(seen) > 2 * 2**lm_scoring.CONTEXT_BITS
+    assert 2 ** tables.bits[2] >= lm_scoring.SPARE * len(seen) and len(tables.slots[2]) > 0.96 * len(seen)
+    assert lm_scoring._CELLS > 16000  # what is learned online has about a cell for each symbol before and node
+
+
 def test_score_rows(spark, odd, empty):
     got = lm_scoring.score(odd).collect()
     assert len(got) == odd.count() and lm_scoring.score(empty).collect() == []

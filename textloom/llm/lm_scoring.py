@@ -2,7 +2,7 @@
 
 Texts are coded bit by bit. Several predictors give the odds of the next bit:
 some know the counts of the whole corpus for a hashed context of the last
-1, 3 and 5 symbols, one learns from the text itself in a hashed table. Their
+1, 3 and 5 symbols, one learns from the text itself by the symbol before. Their
 log-odds are combined by weights, a set of which is chosen by the place of
 the bit in its symbol; weights and table learn from every bit. The result is
 refined by an adaptive logistic map, again one for each place of the bit.
@@ -17,8 +17,12 @@ Symbols have 7 bits: a byte under 127 is itself, other bytes are 127 and
 then the byte without its top bit. That is without loss, and no bits are
 spent on a top bit that is nearly always 0.
 
-The corpus counts are of all documents: each task sums those of its rows in
-dense tables, which are sent packed and added up by range of contexts.
+The corpus counts are of all documents: each task sums those of its rows by
+(hash of the context, symbol), which are sent packed and added up by range of
+hashes. Then the different contexts are counted, and each order's table is
+given at least SPARE slots for each of them, so it grows with the corpus; only
+slots that a context has take a row. Contexts share a slot only where hashes
+are equal in that many bits: about one in 2 * SPARE is merged with another.
 
 Defined results: null and empty texts have 0 bits and no bits per byte. Rows
 are scored one by one, so repeated rows give repeated scores; they also count
@@ -28,22 +32,26 @@ Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import text_buffers
+from textloom.llm.common import text_buffers, written
+from textloom.llm.near_dup import add_counts
 
 ORDERS = (1, 3, 5)
-CONTEXT_BITS, PARTS = 15, 16
-SEGMENT, LANES = 2048, 16384
+#: Bits of the smallest tables, slots for each context of the corpus, and bits of a whole hash.
+CONTEXT_BITS, SPARE, HASH_BITS = 15, 32, 32
+SEGMENT, LANES = 2048, 2048
 HISTORY = 5
 ESCAPE = 127
-SLOTS = 256
+#: Hashes of the symbol before and the bits so far; 16060 of the 16256 pairs have one of their own.
+SLOTS = 1 << 19
 RATE, TABLE_RATE, MAP_RATE, FIRST_WEIGHT = 0.02, 0.15, 0.02, 0.35
 SCALE, LEAST = 1 / 15.0, 1 / 4096
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -63,45 +71,69 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, offs + np.searchsorted(pos, offs)
 
 
-def context(back: list[np.ndarray]) -> np.ndarray:
-    """A hash in CONTEXT_BITS of the last symbols, the latest first."""
+def _cells() -> np.ndarray:
+    """Dense numbers of the hashes that occur, by the symbol before and the node of the bits so far."""
+    before, node = np.meshgrid(np.arange(128), np.arange(128), indexing="ij")
+    _, first, back = np.unique(((node * 73 ^ before * 0x9E5) & (SLOTS - 1)).ravel(), return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[back]
+
+
+_CELL = _cells()
+_CELLS = int(_CELL.max()) + 1
+
+
+def context(back: list[np.ndarray], bits: int = CONTEXT_BITS) -> np.ndarray:
+    """A hash of so many bits of the last symbols, the latest first."""
     h = np.full(back[0].shape, len(back) * 0x9E37, dtype=np.uint32)
     for k, b in enumerate(back):
         h = (h ^ b) * _MULT[k]
         h ^= h >> np.uint32(15)
-    return h >> np.uint32(32 - CONTEXT_BITS) if len(back) > 1 else back[0].astype(np.uint32)
-
-
-def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, symbol) of all of a task's rows, packed."""
-    cells = 1 << (CONTEXT_BITS + 7)
-    total = [np.zeros(cells, np.uint32) for _ in ORDERS]
-    some = False
-    for b in batches:
-        data, offs = text_buffers(b.column(0))
-        i = 0
-        while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(offs, offs[i] + (8 << 20), side="right")) - 1)
-            sym, at = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            i = j
-            if not len(sym):
-                continue
-            some = True
-            back = []
-            for d in range(1, HISTORY + 1):
-                p = np.zeros(len(sym), np.uint8)
-                p[d:] = sym[:-d]
-                for e in range(d):  # nothing is known from before a text
-                    first = at[:-1] + e
-                    p[first[first < at[1:]]] = 0
-                back.append(p)
-            for k, order in enumerate(ORDERS):
-                idx = (context(back[:order]) << np.uint32(7)) | sym
-                total[k] += np.bincount(idx, minlength=cells).astype(np.uint32)
-    if some:
-        step = cells // PARTS
-        rows = [(k, p, zlib.compress(t[p * step : (p + 1) * step].tobytes(), 1)) for k, t in enumerate(total) for p in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["k", "part", "blob"])
+    return h >> np.uint32(HASH_BITS - bits) if len(back) > 1 else back[0].astype(np.uint32)
+
+
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising keys, as steps, and their counts."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + counts.astype(np.uint64).tobytes(), 1)
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(zlib.decompress(blob), np.uint64).reshape(2, -1)
+    return np.cumsum(steps, dtype=np.uint64), counts
+
+
+def _corpus_counts(part_bits: int) -> Callable:
+    """Counts of (context, symbol) of all of a task's rows, packed by range of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in ORDERS]
+        for b in batches:
+            data, offs = text_buffers(b.column(0))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(offs, offs[i] + (4 << 20), side="right")) - 1)
+                sym, at = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                i = j
+                if not len(sym):
+                    continue
+                back = []
+                for d in range(1, HISTORY + 1):
+                    p = np.zeros(len(sym), np.uint8)
+                    p[d:] = sym[:-d]
+                    for e in range(d):  # nothing is known from before a text
+                        first = at[:-1] + e
+                        p[first[first < at[1:]]] = 0
+                    back.append(p)
+                for k, order in enumerate(ORDERS):
+                    keys, n = np.unique((context(back[:order], HASH_BITS).astype(np.uint64) << np.uint64(7)) | sym, return_counts=True)
+                    total[k] = add_counts(np.concatenate([total[k][0], keys]), np.concatenate([total[k][1], n]))
+        rows = []
+        for k, (keys, n) in enumerate(total):
+            edges = np.searchsorted(keys, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(HASH_BITS + 7 - part_bits)).tolist()
+            rows += [(k, p, pack_counts(keys[x:y], n[x:y])) for p, (x, y) in enumerate(zip(edges, [*edges[1:], len(keys)])) if y > x]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["k", "part", "blob"])
+
+    return run
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -116,32 +148,93 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total = None
-    for blob in table["blob"].to_pylist():
-        x = np.frombuffer(zlib.decompress(blob), np.uint32)
-        total = x.astype(np.uint64) if total is None else total + x
-    return pa.table({"k": table["k"][:1], "part": table["part"][:1], "blob": pa.array([zlib.compress(log_odds(total).tobytes(), 1)], pa.binary())})
-
-
-def corpus_tables(docs: DataFrame) -> np.ndarray:
-    """Log-odds by context and node, one order's after the other's."""
-    counted = docs.select("text").mapInArrow(_corpus_counts, "k int, part int, blob binary")
-    got = counted.groupBy("k", "part").applyInArrow(_add_up, "k int, part int, blob binary").collect()
-    out = np.zeros((len(ORDERS), 1 << (CONTEXT_BITS + 7)), np.int8)
+    """The counts of a range of hashes, and how many contexts it has."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    blobs = table["blob"].to_pylist()
+    for i in range(0, len(blobs), 32):
+        got = [unpack_counts(x) for x in blobs[i : i + 32]]
+        keys, counts = add_counts(np.concatenate([keys, *(g[0] for g in got)]), np.concatenate([counts, *(g[1] for g in got)]))
+    n = 1 + np.count_nonzero(np.diff(keys >> np.uint64(7)))
+    return pa.table({"k": table["k"][:1], "contexts": pa.array([n], pa.int64()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
+
+
+def _odds_of(bits: list[int]) -> Callable:
+    """The slots that a range's contexts have in tables of so many bits, and their log-odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys, n = unpack_counts(blob)
+                slot = keys >> np.uint64(7)
+                if ORDERS[k] > 1:
+                    slot >>= np.uint64(HASH_BITS - bits[k])
+                slots, row = np.unique(slot, return_inverse=True)
+                for i in range(0, len(slots), 1 << 15):
+                    own = slice(*np.searchsorted(row, [i, i + (1 << 15)]))
+                    here = slots[i : i + (1 << 15)]
+                    c = np.zeros((len(here), 128))
+                    np.add.at(c, (row[own] - i, (keys[own] & np.uint64(127)).astype(np.int64)), n[own])
+                    packed = zlib.compress(here.astype(np.uint32).tobytes() + log_odds(c).tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(here)], pa.int64()), pa.array([packed], pa.binary())], names=["k", "n", "blob"])
+
+    return run
+
+
+class Tables:
+    """Log-odds by order, slot and node: a row of 128 for each slot that is in use, found by a directory of all slots."""
+
+    def __init__(self, bits: list[int], slots: list[np.ndarray], rows: np.ndarray):
+        self.__setstate__((bits, slots, rows))
+
+    def __getstate__(self) -> tuple:
+        return self.bits, self.slots, self.rows
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.slots, self.rows = state
+        self.flat, self.directory, at = self.rows.ravel(), [], 1  # row 0: nothing is known
+        for bits, own in zip(self.bits, self.slots):
+            d = np.zeros(1 << bits, np.int32)
+            d[own] = np.arange(at, at + len(own))
+            self.directory.append(d)
+            at += len(own)
+
+    def __getitem__(self, place: int) -> np.int8:
+        """By number: one order's slots after the other's, as if all had the bits of the largest."""
+        k, at = divmod(int(place), 1 << (max(self.bits) + 7))
+        return self.rows[self.directory[k][at >> 7], at & 127]
+
+
+def table_bits(contexts: int) -> int:
+    """Bits of a table for so many contexts."""
+    return min(HASH_BITS, max(CONTEXT_BITS, math.ceil(math.log2(max(1, contexts) * SPARE))))
+
+
+def corpus_tables(docs: DataFrame) -> Tables:
+    part_bits = min(CONTEXT_BITS, max(4, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions() / 16)))))
+    counted = docs.select("text").mapInArrow(_corpus_counts(part_bits), "k int, part int, blob binary")
+    added = written(counted.groupBy("k", "part").applyInArrow(_add_up, "k int, contexts long, blob binary"), "contexts")
+    contexts = {r["k"]: r["n"] for r in added.groupBy("k").agg(F.sum("contexts").alias("n")).collect()}
+    bits = [table_bits(contexts.get(k, 0)) for k in range(len(ORDERS))]
+    got = sorted(added.select("k", "blob").mapInArrow(_odds_of(bits), "k int, n long, blob binary").collect(), key=lambda r: r["k"])
+    rows = np.zeros((1 + sum(r["n"] for r in got), 128), np.int8)
+    slots: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] for _ in ORDERS]
+    at = 1
     for r in got:
-        x = np.frombuffer(zlib.decompress(r["blob"]), np.int8)
-        out[r["k"], r["part"] * len(x) : (r["part"] + 1) * len(x)] = x
-    return out.ravel()
+        raw = zlib.decompress(r["blob"])
+        slots[r["k"]].append(np.frombuffer(raw, np.uint32, r["n"]))
+        rows[at : at + r["n"]] = np.frombuffer(raw, np.int8, offset=4 * r["n"]).reshape(-1, 128)
+        at += r["n"]
+    return Tables(bits, [np.concatenate(x) for x in slots], rows)
 
 
-def code_lengths(m: np.ndarray, lens: np.ndarray, tables: np.ndarray) -> np.ndarray:
+def code_lengths(m: np.ndarray, lens: np.ndarray, tables: Tables) -> np.ndarray:
     """Bits of each lane. m: symbols by place and lane, after HISTORY rows of those before; lens: falling."""
-    lanes, n_in, cells = m.shape[1], len(ORDERS), 1 << (CONTEXT_BITS + 7)
+    lanes, n_in = m.shape[1], len(ORDERS)
     one = np.float32(1)
     w = np.full((7, n_in, lanes), FIRST_WEIGHT, np.float32)
     slope, shift = np.ones((7, lanes), np.float32), np.zeros((7, lanes), np.float32)
-    own = np.zeros(lanes * SLOTS, np.float32)
-    lane_slot = np.arange(lanes, dtype=np.int64) * SLOTS
+    own = np.zeros(lanes * _CELLS, np.float32)
+    lane_cell = np.arange(lanes, dtype=np.int64) * _CELLS
     bits = np.zeros(lanes, np.float64)
     i8_, st_, mul_ = np.empty((n_in, lanes), np.int8), np.empty((n_in, lanes), np.float32), np.empty((n_in, lanes), np.float32)
     base_, idx_ = np.empty((n_in, lanes), np.int64), np.empty((n_in, lanes), np.int64)
@@ -158,24 +251,22 @@ def code_lengths(m: np.ndarray, lens: np.ndarray, tables: np.ndarray) -> np.ndar
         rows = [m[t + HISTORY - d, :a] for d in range(1, HISTORY + 1)]
         sym = m[t + HISTORY, :a]
         for k, order in enumerate(ORDERS):
-            np.left_shift(context(rows[:order]), np.uint32(7), out=base[k], casting="unsafe")
-            base[k] += k * cells
-        np.multiply(rows[0], 0x9E5, out=slot, dtype=np.int64, casting="unsafe")
+            np.left_shift(tables.directory[k][context(rows[:order], tables.bits[k])], 7, out=base[k], dtype=np.int64, casting="unsafe")
+        np.left_shift(rows[0], 7, out=slot, dtype=np.int64, casting="unsafe")
         node[:] = 1
         prod[:] = 1
         for j in range(7):
             np.bitwise_and(np.right_shift(sym, 6 - j), 1, out=bit, casting="unsafe")
             np.add(base, node, out=idx)
-            np.take(tables, idx, out=i8, mode="clip")
+            np.take(tables.flat, idx, out=i8, mode="clip")
             np.multiply(i8, np.float32(SCALE), out=st, casting="unsafe")
             ww = w[j, :, :a]
             np.multiply(st, ww, out=mul)
             np.add.reduce(mul, axis=0, out=dot)
             # What the text itself has taught in this context.
-            np.multiply(node, 73, out=at)
-            at ^= slot
-            at &= SLOTS - 1
-            at += lane_slot[:a]
+            np.add(slot, node, out=idx[0])
+            np.take(_CELL, idx[0], out=at, mode="clip")
+            at += lane_cell[:a]
             np.take(own, at, out=o, mode="clip")
             dot += o
             np.negative(dot, out=p)
@@ -216,7 +307,7 @@ def code_lengths(m: np.ndarray, lens: np.ndarray, tables: np.ndarray) -> np.ndar
     return bits
 
 
-def score_batch(data: np.ndarray, offs: np.ndarray, tables: np.ndarray) -> np.ndarray:
+def score_batch(data: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarray:
     """Bits of each text."""
     sym, at = symbols(data, offs)
     n = np.diff(at)
