@@ -373,6 +373,33 @@ def test_scores_are_the_scalar_coder(spark, monkeypatch):
     assert np.allclose(got, [scalar_bits(t, tables) for t in texts], rtol=1e-3, atol=1e-2)
 
 
+def test_long_texts_keep_what_they_learned(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SPARE", 1)  # the scalar coder knows tables of CONTEXT_BITS
+    rng = random.Random(7)
+    texts = [words(rng, n) + "é" for n in (1500, 2, 30, 900)]
+    tables = lm_scoring.corpus_tables(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    raw = [t.encode() for t in texts]
+    assert len(raw[0]) > 2 * 2048
+    score = lambda: lm_scoring.score_batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), tables)
+    want = [scalar_bits(t, tables) for t in texts]
+    assert np.allclose(score(), want, rtol=1e-3, atol=1e-2)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 7)
+    monkeypatch.setattr(lm_scoring, "LANES", 3)
+    assert np.allclose(score(), want, rtol=1e-3, atol=1e-2)
+
+
+def test_texts_of_all_lengths_are_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LONG", 500)
+    monkeypatch.setattr(lm_scoring, "HELD", 4000)
+    rng = random.Random(13)
+    rows = [(k, words(rng, rng.choice([1, 50, 300, 700]))) for k in range(30)] + [(30, None), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = {r.doc_id: r.bits for r in lm_scoring.score(df).collect()}
+    monkeypatch.setattr(lm_scoring, "LONG", 1 << 30)
+    whole = {r.doc_id: r.bits for r in lm_scoring.score(df).collect()}
+    assert len(split) == len(rows) and all(abs(split[k] - v) < 1e-2 + 1e-4 * v for k, v in whole.items())
+
+
 def test_model_grows_with_the_corpus(spark):
     rng = random.Random(12)
     texts = ["".join(chr(rng.randrange(32, 127)) for _ in range(2000)) for _ in range(40)]

@@ -9,9 +9,11 @@ refined by an adaptive logistic map, again one for each place of the bit.
 The score is the sum of the bits' code lengths, over the bytes of the text.
 
 For speed many texts are coded side by side, each with its own weights,
-table and map: numpy does the same bit of all of them at a time. A long text
-is cut into segments of SEGMENT symbols; each begins with fresh weights, but
-knows the symbols before it. All of every text is coded.
+table and map: numpy does the same bit of all of them at a time. A text stays
+in its lane to its end, whatever its length, and keeps what it has learned;
+lanes are brought BLOCK symbols at a time. As a batch takes as many steps as
+its longest text has symbols, texts over LONG bytes are brought together by
+length first. (A text longer than SEGMENT would begin anew there; no text is.)
 
 Symbols have 7 bits: a byte under 127 is itself, other bytes are 127 and
 then the byte without its top bit. That is without loss, and no bits are
@@ -47,7 +49,8 @@ from textloom.llm.near_dup import add_counts
 ORDERS = (1, 3, 5)
 #: Bits of the smallest tables, slots for each context of the corpus, and bits of a whole hash.
 CONTEXT_BITS, SPARE, HASH_BITS = 15, 32, 32
-SEGMENT, LANES = 2048, 2048
+SEGMENT, BLOCK, LANES = 1 << 40, 2048, 2048
+LONG, HELD = 8 << 10, 32 << 20
 HISTORY = 5
 ESCAPE = 127
 #: Hashes of the symbol before and the bits so far; 16060 of the 16256 pairs have one of their own.
@@ -227,9 +230,9 @@ def corpus_tables(docs: DataFrame) -> Tables:
     return Tables(bits, [np.concatenate(x) for x in slots], rows)
 
 
-def code_lengths(m: np.ndarray, lens: np.ndarray, tables: Tables) -> np.ndarray:
-    """Bits of each lane. m: symbols by place and lane, after HISTORY rows of those before; lens: falling."""
-    lanes, n_in = m.shape[1], len(ORDERS)
+def code_lengths(sym: np.ndarray, start: np.ndarray, before: np.ndarray, lens: np.ndarray, tables: Tables) -> np.ndarray:
+    """Bits of each lane. start: of its symbols in sym; before: how many symbols before that it knows; lens: falling."""
+    lanes, n_in = len(lens), len(ORDERS)
     one = np.float32(1)
     w = np.full((7, n_in, lanes), FIRST_WEIGHT, np.float32)
     slope, shift = np.ones((7, lanes), np.float32), np.zeros((7, lanes), np.float32)
@@ -243,20 +246,27 @@ def code_lengths(m: np.ndarray, lens: np.ndarray, tables: Tables) -> np.ndarray:
     active = np.searchsorted(-lens, -np.arange(int(lens[0]) if lanes else 0), side="left").tolist()
     last = -1
     for t, a in enumerate(active):
+        if t % BLOCK == 0:  # symbols by place and lane, after HISTORY rows of those before
+            m = np.zeros((HISTORY + min(BLOCK, len(active) - t), a), np.uint8)
+            for lane, (at0, known, n) in enumerate(zip(start[:a].tolist(), before[:a].tolist(), lens[:a].tolist())):
+                known = min(HISTORY, known + t)
+                x = sym[at0 + t - known : at0 + min(n, t + BLOCK)]
+                m[HISTORY - known : HISTORY - known + len(x), lane] = x
         if a != last:  # fewer lanes are left
             last = a
             i8, st, mul, base, idx = i8_.ravel()[: n_in * a].reshape(n_in, a), st_.ravel()[: n_in * a].reshape(n_in, a), mul_.ravel()[: n_in * a].reshape(n_in, a), base_.ravel()[: n_in * a].reshape(n_in, a), idx_.ravel()[: n_in * a].reshape(n_in, a)
             dot, tmp, p, err, o, prod, bit, z = dot_[:a], tmp_[:a], p_[:a], err_[:a], o_[:a], prod_[:a], bit_[:a], z_[:a]
             at, node, slot = at_[:a], node_[:a], slot_[:a]
-        rows = [m[t + HISTORY - d, :a] for d in range(1, HISTORY + 1)]
-        sym = m[t + HISTORY, :a]
+        place = t % BLOCK + HISTORY
+        rows = [m[place - d, :a] for d in range(1, HISTORY + 1)]
+        now = m[place, :a]
         for k, order in enumerate(ORDERS):
             np.left_shift(tables.directory[k][context(rows[:order], tables.bits[k])], 7, out=base[k], dtype=np.int64, casting="unsafe")
         np.left_shift(rows[0], 7, out=slot, dtype=np.int64, casting="unsafe")
         node[:] = 1
         prod[:] = 1
         for j in range(7):
-            np.bitwise_and(np.right_shift(sym, 6 - j), 1, out=bit, casting="unsafe")
+            np.bitwise_and(np.right_shift(now, 6 - j), 1, out=bit, casting="unsafe")
             np.add(base, node, out=idx)
             np.take(tables.flat, idx, out=i8, mode="clip")
             np.multiply(i8, np.float32(SCALE), out=st, casting="unsafe")
@@ -320,12 +330,7 @@ def score_batch(data: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarra
     order = np.argsort(-length, kind="stable")
     for s in range(0, len(order), LANES):
         own = order[s : s + LANES]
-        m = np.zeros((HISTORY + int(length[own[0]]), len(own)), np.uint8)
-        for lane, q in enumerate(own.tolist()):
-            before = min(HISTORY, int(nth[q]) * SEGMENT)
-            x = sym[start[q] - before : start[q] + length[q]]
-            m[HISTORY - before : HISTORY + length[q], lane] = x
-        np.add.at(out, doc[own], code_lengths(m, length[own], tables))
+        np.add.at(out, doc[own], code_lengths(sym, start[own], np.minimum(HISTORY, nth[own] * SEGMENT), length[own], tables))
     return out
 
 
@@ -350,10 +355,18 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             held.append(b)
             size += b.nbytes
-            if size > 24 << 20:
+            if size > HELD:
                 yield done()
                 held, size = [], 0
         if held:
             yield done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bits double, bits_per_byte double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    out = "doc_id long, bits double, bits_per_byte double"
+    scored = rows.filter(size <= LONG).mapInArrow(run, out)
+    long_bytes = rows.filter(size > LONG).agg(F.sum(size.cast("long"))).first()[0]
+    if long_bytes:
+        together = rows.filter(size > LONG).repartitionByRange(math.ceil(long_bytes / HELD), F.desc(F.octet_length("text"))).sortWithinPartitions(F.desc(F.octet_length("text")))
+        scored = together.mapInArrow(run, out).unionByName(scored)
+    return scored
