@@ -267,6 +267,35 @@ def test_license_bounds_leave_nothing_out(spark):
         assert s.scan(" ".join(text)) == licenses.strongest(full)
 
 
+def test_licenses_behind_stronger_ones(spark):
+    pairs = [(f"Licensed under CC BY-{kind} 4.0.", "Licensed under CC BY 4.0.") for kind in ("NC", "SA")]
+    texts = [f"{a} {'foo ' * 60}{b} {'bar ' * 60}{a}" for x in pairs for a, b in (x, x[::-1])]
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect():
+        assert r.coverage == 1.0
+        got[r.doc_id].append((r.license, r.first, r.last))
+    for k, t in enumerate(texts):
+        w = licenses.words_of(t)
+        want = []
+        for name in ("CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"):
+            x = licenses.words_of(licenses.TEMPLATES[name])
+            want += [(name, i, i + len(x) - 1) for i in range(len(w)) if w[i : i + len(x)] == x]
+        assert len(want) == 3 and sorted(got[k]) == sorted(want)
+
+
+def test_all_license_places_without_bounds():
+    rng = random.Random(15)
+    s = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for _ in range(20):
+        text = [rng.choice("the of and to license version foo bar".split()) for _ in range(150)]
+        for name in rng.sample(sorted(licenses.TEMPLATES), 3):
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = licenses.words_of(licenses.TEMPLATES[name])
+        ids = [s.number.get(w, len(s.number)) for w in text]
+        full = {(name, m[0] / len(t), *m) for k, (name, t) in enumerate(s.templates) for m in s.matches(ids, k)}
+        assert s.scan_all(" ".join(text)) == licenses.strongest(sorted(full))
+
+
 def test_license_rows(spark, odd, empty):
     rows = [(1, "Intro.\nReleased under the MIT License.\nMore text", "en", "a"), (2, "Released under the MIT License. " * 3, "en", "a"), (3, None, "en", "a"), (None, "Licensed under CC BY-NC 4.0.", "en", "a"), (5, "x " * 5000 + licenses.TEMPLATES["MIT-text"], "en", "a")]
     got = [(r.doc_id, r.license, r.coverage) for r in licenses.scan_licenses(frame(spark, rows)).collect()]

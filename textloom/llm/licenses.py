@@ -12,17 +12,18 @@ that are aligned.
 A window is aligned only if enough of its words are words of the template
 for the coverage to be reached; this bound leaves out no match.
 
-Defined results: for each document and template the window of greatest
-coverage, the first of equals, if it reaches the threshold. Of matches that
-overlap in the text, the one with more aligned words stays (of equals the
-greater coverage, then the first template by name). Null and empty texts have
+Defined results: all windows that reach the threshold are matches. Of matches
+that overlap in the text, the one with more aligned words stays (of equals the
+greater coverage, then the first template by name, then the shorter and the
+first place). Each place that stays is a row, so a license may come several
+times in a document; notices less than a window apart may be found as one. Null and empty texts have
 no matches. Repeated rows give repeated matches. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -176,20 +177,23 @@ class Scanner:
         """Aligned words at which the coverage is reached."""
         return next(x for x in range(m + 1) if x / m >= self.coverage)
 
-    def best(self, doc: list[int], k: int, hits: np.ndarray | None = None) -> tuple | None:
-        """(aligned, first, last) of the best window; hits: places of the template's rare words."""
+    def matches(self, doc: list[int], k: int, hits: np.ndarray | None = None) -> Iterator[tuple]:
+        """(aligned, first, last) of each window that reaches the coverage; hits: places of the template's rare words."""
         t = self.templates[k][1]
-        m, found = len(t), None
+        m = len(t)
         for start, end in windows(len(doc), m):
             if hits is not None and np.searchsorted(hits, end) - np.searchsorted(hits, start) < self.least[k]:
                 continue
             pairs = patience(doc[start:end], t)
-            if len(pairs) >= self.need(m) and (found is None or len(pairs) > found[0]):
-                found = (len(pairs), start + pairs[0][0], start + pairs[-1][0])
-        return found
+            if len(pairs) >= self.need(m):
+                yield len(pairs), start + pairs[0][0], start + pairs[-1][0]
 
-    def scan(self, text: str | None) -> list[tuple]:
-        """(license, coverage, aligned, first, last) of each match."""
+    def best(self, doc: list[int], k: int, hits: np.ndarray | None = None) -> tuple | None:
+        """The first match of most aligned words."""
+        return max(self.matches(doc, k, hits), key=lambda f: f[0], default=None)
+
+    def candidates(self, text: str | None) -> Iterator[tuple]:
+        """Number of a template, the text's words as numbers, and hits, of each template that the text may have."""
         words = words_of(text)
         get = self.number.get
         none = len(self.number)
@@ -197,23 +201,35 @@ class Scanner:
         arr = np.fromiter(ids, dtype=np.int32, count=len(ids))
         places = np.flatnonzero(self.weight[arr]) if len(ids) else arr
         if not len(places):
-            return []
-        kinds, found = arr[places], []
-        for k, (name, t) in enumerate(self.templates):
+            return
+        kinds = arr[places]
+        for k in range(len(self.templates)):
             hits = places[self.rare[k, kinds]] if self.least[k] > 0 else None
-            if hits is not None and len(hits) < self.least[k]:
-                continue
             # Words of no template are unlike each other: none of them can be an anchor.
-            if b := self.best(ids, k, hits):
-                found.append((name, b[0] / len(t), *b))
-        return strongest(found)
+            if hits is None or len(hits) >= self.least[k]:
+                yield k, ids, hits
+
+    def row(self, k: int, match: tuple) -> tuple:
+        return self.templates[k][0], match[0] / len(self.templates[k][1]), *match
+
+    def scan(self, text: str | None) -> list[tuple]:
+        """(license, coverage, aligned, first, last) of each template's best match alone, where no other's is stronger."""
+        return strongest([self.row(k, b) for k, ids, hits in self.candidates(text) if (b := self.best(ids, k, hits))])
+
+    def scan_all(self, text: str | None) -> list[tuple]:
+        """The same of each place, of all matches."""
+        return strongest(list({self.row(k, b) for k, ids, hits in self.candidates(text) for b in self.matches(ids, k, hits)}))
 
 
 def strongest(found: list[tuple]) -> list[tuple]:
     kept: list[tuple] = []
-    for f in sorted(found, key=lambda f: (-f[2], -f[1], f[0])):
-        if all(f[4] < k[3] or f[3] > k[4] for k in kept):
+    firsts, lasts = [], []  # of those kept, in order; they don't overlap
+    for f in sorted(found, key=lambda f: (-f[2], -f[1], f[0], f[4] - f[3], f[3])):
+        i = bisect_right(firsts, f[4])
+        if not i or lasts[i - 1] < f[3]:
             kept.append(f)
+            firsts.insert(i, f[3])
+            lasts.insert(i, f[4])
     return sorted(kept)
 
 
@@ -225,7 +241,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(templates, coverage)
         for b in batches:
-            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in s.scan(t)]
+            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in s.scan_all(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
