@@ -202,6 +202,27 @@ def test_near_pairs_are_brute_force(odd, empty, n, t, monkeypatch):
     assert near_dup.near_pairs(empty, n, t).collect() == []
 
 
+def test_every_pair_of_copies(spark, odd, empty):
+    rng = random.Random(14)
+    text = words(rng, 60)
+    extra = [(k, text, "en", "a") for k in (200, 201, 202)] + [(k, text + " end", "en", "a") for k in (203, 204)]
+    docs = odd.unionByName(frame(spark, extra))
+    sets = set()
+    for r in docs.collect():
+        w = re.findall(r"[a-z0-9\x80-\U0010FFFF]+", (r.text or "").lower())
+        if r.doc_id is not None and w:
+            sets.add((r.doc_id, frozenset([tuple(w)] if len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])))
+    want = {}
+    for (a, x), (b, y) in itertools.combinations(sorted(sets, key=lambda s: s[0]), 2):
+        j = len(x & y) / len(x | y)
+        if a != b and j >= 0.5 - 1e-9:
+            want[a, b] = max(want.get((a, b), 0), round(j, 5))
+    got = near_dup.near_pairs(docs, every=True).collect()
+    assert {(r.doc_a, r.doc_b): round(r.jaccard, 5) for r in got} == want and len(got) == len(want)
+    assert {(a, b) for a in (200, 201, 202) for b in (203, 204)} <= set(want) and (201, 202) in want
+    assert near_dup.near_pairs(empty, every=True).collect() == []
+
+
 def test_near_filter_keeps_one_of_each_group(spark, odd, empty):
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
