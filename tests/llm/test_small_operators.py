@@ -500,6 +500,12 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([got[k].keep for k, q, t, _ in held if q and not t]) > 0.97
 
 
+def test_all_toxic_words_count(spark):
+    rows = [(f"fine {chr(97 + k % 26) * 3} good", 0) for k in range(300)] + [(f"bad{chr(97 + k // 26)}{chr(97 + k % 26)} x", 1) for k in range(100) for _ in range(5)]
+    got = gam.toxic_words(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {f"bad{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)} <= got
+
+
 def test_classifier_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = gam.classify(odd, none).collect()

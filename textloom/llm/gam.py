@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import written
 
 MOST_LABELS, MIN_QUALITY, MAX_TOXIC = 20_000, 0.4, 0.6
-LEXICON, LEXICON_DF = 64, 4
+LEXICON_DF = 4
 FEATURES = (
     "log_words", "word_length", "upper", "digit", "symbol", "bar", "mark", "newline", "distinct", "repeats", "copied_lines", "common", "toxic_share", "toxic_kinds",
 )
@@ -208,7 +208,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
     return written(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "quality", "toxic"), "labelled")
 
 
-def toxic_words(sample: DataFrame, size: int = LEXICON, least: int = LEXICON_DF) -> frozenset[str]:
+def toxic_words(sample: DataFrame, least: int = LEXICON_DF) -> frozenset[str]:
     """Words whose documents are much more often toxic than others."""
     rows = sample.filter("toxic is not null")
     n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
@@ -218,7 +218,7 @@ def toxic_words(sample: DataFrame, size: int = LEXICON, least: int = LEXICON_DF)
     odds = F.log((F.col("pos") + 0.5) / (n["pos"] + 1.0)) - F.log((F.col("df") - F.col("pos") + 0.5) / (n["n"] - n["pos"] + 1.0))
     least = max(least, n["pos"] // 100)
     found = words.groupBy("w").agg(F.sum("toxic").alias("pos"), F.count("*").alias("df")).filter(F.col("pos") >= least)
-    return frozenset(r["w"] for r in found.withColumn("odds", odds).filter("odds > 1.5").orderBy(F.desc("odds"), F.desc("pos"), "w").limit(size).collect())
+    return frozenset(r["w"] for r in found.withColumn("odds", odds).filter("odds > 1.5").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> tuple[frozenset[str], Head, Head]:
