@@ -8,7 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from test_small_operators import brute_near, brute_pack, frame
+from test_small_operators import brute_classes, brute_pack, frame
 
 from textloom.llm import mixing, near_dup, packing
 from textloom.llm import quality_rules as q
@@ -60,17 +60,8 @@ def brute_exact(docs):
 
 
 def brute_groups(docs):
-    root = {d["doc_id"]: d["doc_id"] for d in docs}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in brute_near([(d["doc_id"], d["text"]) for d in docs], near_dup.N, near_dup.THRESHOLD):
-        x, y = sorted((top(a), top(b)))
-        root[y] = x
-    return [d for d in docs if top(d["doc_id"]) == d["doc_id"]]
+    first = {r[0] for r, _ in brute_classes([(d["doc_id"], d["text"]) for d in docs], near_dup.N, near_dup.THRESHOLD) if r[0] == r[1]}
+    return [d for d in docs if d["doc_id"] in first]
 
 
 def brute_mix(docs):

@@ -175,17 +175,22 @@ def test_dedup_state_goes_on(spark, tmp_path):
 # Near duplicates
 
 
-def brute_near(rows, n, t):
-    sets = {}
+def brute_sets(rows, n):
+    """Of each set its ids; (id, set) of each document, the empty set for texts without words."""
+    sets, docs = {}, set()
     for d, text in rows:
         w = re.findall(r"[a-z0-9\x80-\U0010FFFF]+", (text or "").lower())
-        if d is not None and w:
-            sets.setdefault(frozenset([tuple(w)] if len(w) < n else [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]), set()).add(d)
+        if d is not None:
+            s = frozenset(([tuple(w)] if len(w) < n else [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]) if w else [])
+            docs.add((d, s))
+            if s:
+                sets.setdefault(s, set()).add(d)
+    return sets, docs
+
+
+def brute_near(rows, n, t):
     out = {}
-    for s, ids in sets.items():
-        for d in ids - {min(ids)}:
-            out[min(ids), d] = 1.0
-    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+    for (a, x), (b, y) in itertools.combinations(brute_sets(rows, n)[0].items(), 2):
         j = len(a & b) / len(a | b)
         p, q = sorted((min(x), min(y)))
         if j >= t - 1e-9 and p != q:
@@ -193,34 +198,76 @@ def brute_near(rows, n, t):
     return out
 
 
+def brute_classes(rows, n, t):
+    """(doc_id, class_id, n_links) and the set of each document."""
+    sets, docs = brute_sets(rows, n)
+    kinds = list(sets)
+    linked = {s: {s} for s in kinds}
+    for a, b in itertools.combinations(kinds, 2):
+        if len(a & b) / len(a | b) >= t - 1e-9:
+            linked[a].add(b)
+            linked[b].add(a)
+    least, out = {}, []
+    for s in kinds:
+        seen, todo = {s}, [s]
+        while todo:
+            for x in linked[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        least[s] = min(min(sets[x]) for x in seen)
+    for d, s in docs:
+        out.append(((d, least.get(s, d), sum(len(sets[x]) for x in linked[s]) - 1 if s else 0), s))
+    return out
+
+
 @pytest.mark.parametrize("n,t", [(3, 0.5), (1, 0.6), (2, 0.9)])
 def test_near_pairs_are_brute_force(odd, empty, n, t, monkeypatch):
     monkeypatch.setattr(near_dup, "_BLOCK_SETS", 3)  # cut neighbourhoods into blocks
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = {(r.doc_a, r.doc_b): r.jaccard for r in near_dup.near_pairs(odd, n, t).collect()}
-    want = brute_near([(r.doc_id, r.text) for r in odd.collect()], n, t)
-    assert {k: round(v, 5) for k, v in got.items()} == {k: round(v, 5) for k, v in want.items()}
-    assert near_dup.near_pairs(empty, n, t).collect() == []
-
-
-def test_every_pair_of_copies(spark, odd, empty):
-    rng = random.Random(14)
-    text = words(rng, 60)
-    extra = [(k, text, "en", "a") for k in (200, 201, 202)] + [(k, text + " end", "en", "a") for k in (203, 204)]
-    docs = odd.unionByName(frame(spark, extra))
-    sets = set()
-    for r in docs.collect():
-        w = re.findall(r"[a-z0-9\x80-\U0010FFFF]+", (r.text or "").lower())
-        if r.doc_id is not None and w:
-            sets.add((r.doc_id, frozenset([tuple(w)] if len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])))
-    want = {}
-    for (a, x), (b, y) in itertools.combinations(sorted(sets, key=lambda s: s[0]), 2):
-        j = len(x & y) / len(x | y)
-        if a != b and j >= 0.5 - 1e-9:
-            want[a, b] = max(want.get((a, b), 0), round(j, 5))
-    got = near_dup.near_pairs(docs, every=True).collect()
-    assert {(r.doc_a, r.doc_b): round(r.jaccard, 5) for r in got} == want and len(got) == len(want)
-    assert {(a, b) for a in (200, 201, 202) for b in (203, 204)} <= set(want) and (201, 202) in want
-    assert near_dup.near_pairs(empty, every=True).collect() == []
+    assert {k: round(v, 5) for k, v in got.items()} == {k: round(v, 5) for k, v in brute_near(rows, n, t).items()}
+    assert Counter(map(tuple, near_dup.near_classes(odd, n, t).collect())) == Counter(r for r, _ in brute_classes(rows, n, t))
+    assert near_dup.near_pairs(empty, n, t).collect() == [] and near_dup.near_classes(empty, n, t).collect() == []
+
+
+@pytest.mark.parametrize("block,popular,gather", [(4096, 1 << 19, 1 << 22), (5, 3, 500)])
+def test_classes_of_families(spark, monkeypatch, block, popular, gather):
+    """Groups of copies and near copies, a passage that most have, and texts of very different lengths."""
+    monkeypatch.setattr(near_dup, "_BLOCK_SETS", block)
+    monkeypatch.setattr(near_dup, "POPULAR", popular)
+    monkeypatch.setattr(near_dup, "_GATHER", gather)
+    rng = random.Random(21)
+    w = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage, rows = w(40), []
+    for size in (30, 80, 200, 400):
+        base = w(size)
+        for _ in range(14):
+            x = list(base)
+            for _ in range(rng.choice([0, 0, 1, size // 20, size // 8])):
+                x[rng.randrange(len(x))] = w(1)[0]
+            if rng.random() < 0.4:
+                at = rng.randrange(len(x))
+                x[at:at] = passage
+            if rng.random() < 0.2:
+                x = x[: rng.randrange(3, len(x))]
+            rows.append((len(rows), " ".join(x)))
+    rows += [(1000 + k, " ".join(w(50) + passage)) for k in range(20)] + [(3, rows[40][1]), (rows[5][0], rows[5][1])]
+    want = brute_classes(rows, 3, 0.5)
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    assert Counter(map(tuple, near_dup.near_classes(docs).collect())) == Counter(r for r, _ in want)
+    class_of = {(r[0], s): r[1] for r, s in want}
+    kept = [(i, t) for i, t in rows if class_of[i, next(s for d, s in brute_sets([(i, t)], 3)[1])] == i]
+    assert Counter((r.doc_id, r.text) for r in near_dup.near_dup_filter(docs).collect()) == Counter(kept)
+
+
+def test_collisions_within_a_bucket_lose_nothing():
+    fam, low, high = np.arange(3, dtype=np.uint64), np.array([4, 5, 9]), np.array([6, 5, 20])
+    a, b = np.array([0, 0, 1]), np.array([1, 2, 2])
+    want = [min(near_dup.least_shared(np.array([x]), np.array([y]), 0.5)[0] for x in range(low[i], high[i] + 1) for y in range(low[j], high[j] + 1) if min(x, y) >= 0.5 * max(x, y)) for i, j in zip(a, b)]
+    assert (near_dup.least_of_families(low, high, a, b, 0.5) <= want).all()
+    blob = near_dup.squeeze(np.array([3, 4], np.int64), fam, low.astype(np.uint32), high.astype(np.uint32), np.array([0, 1, 0], np.uint16), np.array([5, 0, 2, 0xFFFF0000], np.uint32), np.array([0, 1, 1, 2], np.uint16))
+    got = near_dup.unpack(blob)
+    assert [x.tolist() for x in got] == [[0, 1, 2], [4, 5, 9], [6, 5, 20], [0, 1, 0], [5, 5, 7, 0xFFFF0007], [0, 1, 1, 2]]
 
 
 def test_near_filter_keeps_one_of_each_group(spark, odd, empty):

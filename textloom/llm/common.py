@@ -47,6 +47,45 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> D
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(docs: DataFrame):
+    """All columns of docs as one, named row, so that no helper column can clash with them; `row.*` gives them back."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
+
+
+#: Words of 64 bits that a sieve has at most; as a broadcast table they take some 32 MB.
+SIEVE_WORDS = 1 << 20
+
+
+def _sieved(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """df with the column maybe: false only where none of keys (a written table) can be the row's.
+
+    A bit map of the keys' hashes, of a size with a fixed bound, is broadcast, so rows with
+    other keys needn't be shuffled. Beyond 64 keys a word it lets more and more rows pass.
+    """
+    words = min(SIEVE_WORDS, 1 << max(4, keys.count()).bit_length())
+    h = F.xxhash64(*on)
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({', '.join(map(quoted, on))}), 32) & 63 as int))")
+    bits = keys.select(F.pmod(h, F.lit(words)).alias("sieve_word"), bit.alias("bit")).groupBy("sieve_word").agg(F.bit_or("bit").alias("sieve_bits"))
+    j = df.withColumn("sieve_word", F.pmod(h, F.lit(words))).join(F.broadcast(bits), "sieve_word", "left")
+    return j.withColumn("maybe", F.coalesce(F.col("sieve_bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0).drop("sieve_word", "sieve_bits")
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of df with keys (a written table): only rows that the sieve lets pass are shuffled."""
+    return _sieved(df, keys, on).filter("maybe").drop("maybe").join(keys, on)
+
+
+def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """df without the rows that have one of keys (a written table); nulls match nothing. Only rows that the sieve lets pass are shuffled."""
+    j = _sieved(df, keys, on)
+    kept = j.filter("not maybe").drop("maybe")
+    return kept.unionByName(j.filter("maybe").drop("maybe").join(keys, on, "left_anti").select(*kept.columns))
+
+
 def n_words(text):
     """Words of a text: runs without white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": table_query(licenses.scan_licenses, "documents"),
     "op2_packing": table_query(packing.pack, "documents"),
     "op3_quality_rules": table_query(quality_rules.judge, "documents"),
-    "op4_ngram_jaccard_join": table_query(near_dup.near_pairs, "documents"),
+    "op4_ngram_jaccard_join": table_query(near_dup.near_classes, "documents"),
     "op5_chat_format": table_query(chat_format.format_chats, "conversations"),
     "op6_html_extract": table_query(site_tree.extract, "pages"),
     "op7_source_mix": table_query(mixing.mix, "documents"),
