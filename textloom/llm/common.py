@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,9 +74,21 @@ def _sieved(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return j.withColumn("maybe", F.coalesce(F.col("sieve_bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0).drop("sieve_word", "sieve_bits")
 
 
+def possible(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df that the sieve of keys (a written table) lets pass."""
+    return _sieved(df, keys, on).filter("maybe").drop("maybe")
+
+
 def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The inner join of df with keys (a written table): only rows that the sieve lets pass are shuffled."""
-    return _sieved(df, keys, on).filter("maybe").drop("maybe").join(keys, on)
+    return possible(df, keys, on).join(keys, on)
+
+
+def partly_joined(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The left join of df with keys (a written table, each key once): only rows that the sieve lets pass are shuffled."""
+    j = _sieved(df, keys, on)
+    kept = j.filter("not maybe").drop("maybe").withColumns({f.name: F.lit(None).cast(f.dataType) for f in keys.schema if f.name not in on})
+    return j.filter("maybe").drop("maybe").join(keys, on, "left").unionByName(kept)
 
 
 def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
