@@ -1,343 +1,368 @@
 """Language-model scores by online logistic context mixing.
 
-Texts are coded bit by bit. Several predictors give the odds of the next bit:
-some know the counts of the whole corpus for a hashed context of the last
-1, 3 and 5 symbols, one learns from the text itself by the symbol before. Their
-log-odds are combined by weights, a set of which is chosen by the place of
-the bit in its symbol; weights and table learn from every bit. The result is
-refined by an adaptive logistic map, again one for each place of the bit.
-The score is the sum of the bits' code lengths, over the bytes of the text.
-
-For speed many texts are coded side by side, each with its own weights,
-table and map: numpy does the same bit of all of them at a time. A text stays
-in its lane to its end, whatever its length, and keeps what it has learned;
-lanes are brought BLOCK symbols at a time. As a batch takes as many steps as
-its longest text has symbols, texts over LONG bytes are brought together by
-length first. (A text longer than SEGMENT would begin anew there; no text is.)
-
-Symbols have 7 bits: a byte under 127 is itself, other bytes are 127 and
-then the byte without its top bit. That is without loss, and no bits are
-spent on a top bit that is nearly always 0.
-
-The corpus counts are of all documents: each task sums those of its rows by
-(hash of the context, symbol), which are sent packed and added up by range of
-hashes. Then the different contexts are counted, and each order's table is
-given at least SPARE slots for each of them, so it grows with the corpus; only
-slots that a context has take a row. Contexts share a slot only where hashes
-are equal in that many bits: about one in 2 * SPARE is merged with another.
+Texts are coded bit by bit. Predictors give the log-odds of the next bit: two
+learn from the text itself, by the last unit and by a hash of the last three;
+one has the whole corpus's counts after the last two, without those of the
+text itself; one follows a place of another document that has the same bytes
+just before. They are combined by weights; the
+bit's place in its unit and the state of the match choose the set of weights.
+Weights and tables learn from every bit. The result is refined by an
+adaptive logistic map. The score is the sum of the bits' code lengths, over
+the bytes of the text.
+
+A unit has 5 bits: one for each of the 31 most usual bytes, and three for any
+other byte (a mark and its two halves). Many texts are coded side by side, a
+lane each, from their first unit to their last: numpy does the same bit of all
+of them at a time. Texts over LONG bytes are brought together by length first.
+The hashed table of a text has twice as many slots as the text has units, at
+least.
+
+What is gathered from the corpus: counts of units by the two before, of all
+documents, added up by tasks; and anchors, the places of texts where a hash of
+the last WINDOW bytes ends in zeros (one in 64, whatever the text around it).
+Each is sent with its document and the bytes up to the document's next anchor.
+Anchors that several documents have are joined: a document gets the bytes that
+follow in another one. Both grow with the corpus; nothing of it that grows is
+broadcast or sent to the driver.
 
 Defined results: null and empty texts have 0 bits and no bits per byte. Rows
-are scored one by one, so repeated rows give repeated scores; they also count
-repeatedly in the corpus. Scores don't depend on which rows are neighbours.
-Other columns are ignored. An empty table gives an empty result.
+are scored one by one, so repeated rows give repeated scores; rows of one id
+and text are one document, which doesn't predict itself. Scores don't depend
+on which rows are neighbours. Other columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import text_buffers, written
-from textloom.llm.near_dup import add_counts
-
-ORDERS = (1, 3, 5)
-#: Bits of the smallest tables, slots for each context of the corpus, and bits of a whole hash.
-CONTEXT_BITS, SPARE, HASH_BITS = 15, 32, 32
-SEGMENT, BLOCK, LANES = 1 << 40, 2048, 2048
-LONG, HELD = 8 << 10, 32 << 20
-HISTORY = 5
-ESCAPE = 127
-#: Hashes of the symbol before and the bits so far; 16060 of the 16256 pairs have one of their own.
-SLOTS = 1 << 19
-RATE, TABLE_RATE, MAP_RATE, FIRST_WEIGHT = 0.02, 0.15, 0.02, 0.35
+from textloom.llm.common import mix64, partly_joined, text_buffers, matching, written
+from textloom.llm.shingles import power_sums
+
+#: The bytes of one unit each.
+USUAL = b" etaoinshrdlcumfpgwybvkxjqz\n.,-"
+RARE, PLACES = 31, 5
+WINDOW, ANCHOR = 24, 64
+LONG, HELD, LANES, BLOCK = 8 << 10, 8 << 20, 2048, 1 << 15
+COUNT_PARTS, SLICES = 32, 64
+#: Rates of the weights, of the two tables by order, and of the map.
+RATE, TABLE_RATES, MAP_RATE = 0.02, (0.35, 1.1), 0.02
+FIRST_WEIGHTS, TRUST = (0.3, 0.4, 0.6, 1.0), (0.0, 1.0, 2.5, 5.0)
+#: Bytes since the last miss of a match, by state.
+RUNS = (8, 32)
 SCALE, LEAST = 1 / 15.0, 1 / 4096
-_MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
-
-
-def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """7-bit symbols of each text, and their offsets."""
-    esc = data >= ESCAPE
-    pos = np.flatnonzero(esc)
-    if not len(pos):
-        return data.copy(), offs
-    first = pos + np.arange(len(pos))
-    rest = np.ones(len(data) + len(pos), bool)
-    rest[first] = False
-    out = np.full(len(rest), ESCAPE, np.uint8)
-    out[rest] = np.where(esc, data & 127, data)
-    return out, offs + np.searchsorted(pos, offs)
-
-
-def _cells() -> np.ndarray:
-    """Dense numbers of the hashes that occur, by the symbol before and the node of the bits so far."""
-    before, node = np.meshgrid(np.arange(128), np.arange(128), indexing="ij")
-    _, first, back = np.unique(((node * 73 ^ before * 0x9E5) & (SLOTS - 1)).ravel(), return_index=True, return_inverse=True)
-    return np.argsort(np.argsort(first))[back]
-
-
-_CELL = _cells()
-_CELLS = int(_CELL.max()) + 1
-
-
-def context(back: list[np.ndarray], bits: int = CONTEXT_BITS) -> np.ndarray:
-    """A hash of so many bits of the last symbols, the latest first."""
-    h = np.full(back[0].shape, len(back) * 0x9E37, dtype=np.uint32)
-    for k, b in enumerate(back):
-        h = (h ^ b) * _MULT[k]
-        h ^= h >> np.uint32(15)
-    return h >> np.uint32(HASH_BITS - bits) if len(back) > 1 else back[0].astype(np.uint32)
-
-
-def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rising keys, as steps, and their counts."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).tobytes() + counts.astype(np.uint64).tobytes(), 1)
-
-
-def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, counts = np.frombuffer(zlib.decompress(blob), np.uint64).reshape(2, -1)
-    return np.cumsum(steps, dtype=np.uint64), counts
-
-
-def _corpus_counts(part_bits: int) -> Callable:
-    """Counts of (context, symbol) of all of a task's rows, packed by range of hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in ORDERS]
-        for b in batches:
-            data, offs = text_buffers(b.column(0))
-            i = 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(offs, offs[i] + (4 << 20), side="right")) - 1)
-                sym, at = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                i = j
-                if not len(sym):
-                    continue
-                back = []
-                for d in range(1, HISTORY + 1):
-                    p = np.zeros(len(sym), np.uint8)
-                    p[d:] = sym[:-d]
-                    for e in range(d):  # nothing is known from before a text
-                        first = at[:-1] + e
-                        p[first[first < at[1:]]] = 0
-                    back.append(p)
-                for k, order in enumerate(ORDERS):
-                    keys, n = np.unique((context(back[:order], HASH_BITS).astype(np.uint64) << np.uint64(7)) | sym, return_counts=True)
-                    total[k] = add_counts(np.concatenate([total[k][0], keys]), np.concatenate([total[k][1], n]))
-        rows = []
-        for k, (keys, n) in enumerate(total):
-            edges = np.searchsorted(keys, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(HASH_BITS + 7 - part_bits)).tolist()
-            rows += [(k, p, pack_counts(keys[x:y], n[x:y])) for p, (x, y) in enumerate(zip(edges, [*edges[1:], len(keys)])) if y > x]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["k", "part", "blob"])
-
-    return run
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Of counts by (context, symbol) the scaled log-odds of a 1, by (context, node of the symbol's bits)."""
-    c = counts.reshape(-1, 128).astype(np.float64)
-    out = np.zeros(c.shape, np.int8)
-    for depth in range(7):
-        own = c.reshape(len(c), 1 << depth, 2, -1).sum(axis=3)
-        s = np.log((own[:, :, 1] + 0.2) / (own[:, :, 0] + 0.2))
-        out[:, 1 << depth : 2 << depth] = np.rint((s / SCALE).clip(-127, 127))
+N_IN = 4
+
+_CODE = np.full(256, RARE, np.uint8)
+_CODE[list(USUAL)] = np.arange(len(USUAL))
+_NODE_MULT, _HASH_MULT = np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """5-bit units of each text, and their offsets."""
+    rare = _CODE[data] == RARE
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(1 + 2 * rare.astype(np.int64), out=at[1:])
+    out = np.empty(int(at[-1]), np.uint8)
+    out[at[:-1]] = _CODE[data]
+    pos = at[:-1][rare]
+    out[pos + 1], out[pos + 2] = data[rare] >> 4, data[rare] & 15
+    return out, at[offs]
+
+
+def before(u: np.ndarray, offs: np.ndarray, d: int) -> np.ndarray:
+    """The unit d places before each; 0 where the text has none."""
+    out = np.zeros_like(u)
+    out[d:] = u[:-d] if d < len(u) else 0
+    for e in range(d):
+        first = offs[:-1] + e
+        out[first[first < offs[1:]]] = 0
     return out
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """The counts of a range of hashes, and how many contexts it has."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    blobs = table["blob"].to_pylist()
-    for i in range(0, len(blobs), 32):
-        got = [unpack_counts(x) for x in blobs[i : i + 32]]
-        keys, counts = add_counts(np.concatenate([keys, *(g[0] for g in got)]), np.concatenate([counts, *(g[1] for g in got)]))
-    n = 1 + np.count_nonzero(np.diff(keys >> np.uint64(7)))
-    return pa.table({"k": table["k"][:1], "contexts": pa.array([n], pa.int64()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
-
-
-def _odds_of(bits: list[int]) -> Callable:
-    """The slots that a range's contexts have in tables of so many bits, and their log-odds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys, n = unpack_counts(blob)
-                slot = keys >> np.uint64(7)
-                if ORDERS[k] > 1:
-                    slot >>= np.uint64(HASH_BITS - bits[k])
-                slots, row = np.unique(slot, return_inverse=True)
-                for i in range(0, len(slots), 1 << 15):
-                    own = slice(*np.searchsorted(row, [i, i + (1 << 15)]))
-                    here = slots[i : i + (1 << 15)]
-                    c = np.zeros((len(here), 128))
-                    np.add.at(c, (row[own] - i, (keys[own] & np.uint64(127)).astype(np.int64)), n[own])
-                    packed = zlib.compress(here.astype(np.uint32).tobytes() + log_odds(c).tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(here)], pa.int64()), pa.array([packed], pa.binary())], names=["k", "n", "blob"])
-
-    return run
-
-
-class Tables:
-    """Log-odds by order, slot and node: a row of 128 for each slot that is in use, found by a directory of all slots."""
-
-    def __init__(self, bits: list[int], slots: list[np.ndarray], rows: np.ndarray):
-        self.__setstate__((bits, slots, rows))
-
-    def __getstate__(self) -> tuple:
-        return self.bits, self.slots, self.rows
-
-    def __setstate__(self, state: tuple) -> None:
-        self.bits, self.slots, self.rows = state
-        self.flat, self.directory, at = self.rows.ravel(), [], 1  # row 0: nothing is known
-        for bits, own in zip(self.bits, self.slots):
-            d = np.zeros(1 << bits, np.int32)
-            d[own] = np.arange(at, at + len(own))
-            self.directory.append(d)
-            at += len(own)
-
-    def __getitem__(self, place: int) -> np.int8:
-        """By number: one order's slots after the other's, as if all had the bits of the largest."""
-        k, at = divmod(int(place), 1 << (max(self.bits) + 7))
-        return self.rows[self.directory[k][at >> 7], at & 127]
-
-
-def table_bits(contexts: int) -> int:
-    """Bits of a table for so many contexts."""
-    return min(HASH_BITS, max(CONTEXT_BITS, math.ceil(math.log2(max(1, contexts) * SPARE))))
-
-
-def corpus_tables(docs: DataFrame) -> Tables:
-    part_bits = min(CONTEXT_BITS, max(4, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions() / 16)))))
-    counted = docs.select("text").mapInArrow(_corpus_counts(part_bits), "k int, part int, blob binary")
-    added = written(counted.groupBy("k", "part").applyInArrow(_add_up, "k int, contexts long, blob binary"), "contexts")
-    contexts = {r["k"]: r["n"] for r in added.groupBy("k").agg(F.sum("contexts").alias("n")).collect()}
-    bits = [table_bits(contexts.get(k, 0)) for k in range(len(ORDERS))]
-    got = sorted(added.select("k", "blob").mapInArrow(_odds_of(bits), "k int, n long, blob binary").collect(), key=lambda r: r["k"])
-    rows = np.zeros((1 + sum(r["n"] for r in got), 128), np.int8)
-    slots: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] for _ in ORDERS]
-    at = 1
-    for r in got:
-        raw = zlib.decompress(r["blob"])
-        slots[r["k"]].append(np.frombuffer(raw, np.uint32, r["n"]))
-        rows[at : at + r["n"]] = np.frombuffer(raw, np.int8, offset=4 * r["n"]).reshape(-1, 128)
-        at += r["n"]
-    return Tables(bits, [np.concatenate(x) for x in slots], rows)
-
-
-def code_lengths(sym: np.ndarray, start: np.ndarray, before: np.ndarray, lens: np.ndarray, tables: Tables) -> np.ndarray:
-    """Bits of each lane. start: of its symbols in sym; before: how many symbols before that it knows; lens: falling."""
-    lanes, n_in = len(lens), len(ORDERS)
-    one = np.float32(1)
-    w = np.full((7, n_in, lanes), FIRST_WEIGHT, np.float32)
-    slope, shift = np.ones((7, lanes), np.float32), np.zeros((7, lanes), np.float32)
-    own = np.zeros(lanes * _CELLS, np.float32)
-    lane_cell = np.arange(lanes, dtype=np.int64) * _CELLS
-    bits = np.zeros(lanes, np.float64)
-    i8_, st_, mul_ = np.empty((n_in, lanes), np.int8), np.empty((n_in, lanes), np.float32), np.empty((n_in, lanes), np.float32)
-    base_, idx_ = np.empty((n_in, lanes), np.int64), np.empty((n_in, lanes), np.int64)
-    dot_, tmp_, p_, err_, o_, prod_, bit_, z_ = (np.empty(lanes, np.float32) for _ in range(8))
-    at_, node_, slot_ = (np.empty(lanes, np.int64) for _ in range(3))
+# The corpus: counts by the last two units.
+
+def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 15, np.int64)
+    for b in batches:
+        data, offs = text_buffers(b.column(0))
+        for i in range(0, b.num_rows, 512):
+            o = offs[i : i + 513]
+            u, at = units(data[o[0] : o[-1]], o - o[0])
+            if len(u):
+                total += np.bincount((before(u, at, 2).astype(np.int32) << 10) | (before(u, at, 1).astype(np.int32) << 5) | u, minlength=1 << 15)
+    if total.any():
+        blobs = [zlib.compress(x.tobytes(), 1) for x in total.reshape(COUNT_PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table["blob"].to_pylist())
+    return pa.table({"part": table["part"][:1], "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """How often each unit comes after the two before; an array of 2^15 counts, whatever the corpus."""
+    parts = docs.select("text").mapInArrow(_unit_counts, "part int, blob binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    some = parts.groupBy("part", "slice").applyInArrow(_added, "part int, blob binary")
+    out = np.zeros((COUNT_PARTS, (1 << 15) // COUNT_PARTS), np.int64)
+    for r in some.groupBy("part").applyInArrow(_added, "part int, blob binary").collect():
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["blob"]), np.int64)
+    return out.ravel()
+
+
+def node_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts by unit the 0s and 1s by node of the unit's bits, for each 32 in a row."""
+    c = counts.reshape(-1, 32)
+    zeros, ones = np.zeros(c.shape, np.int64), np.zeros(c.shape, np.int64)
+    for j in range(PLACES):
+        own = c.reshape(len(c), 1 << j, 2, -1).sum(axis=3)
+        zeros[:, 1 << j : 2 << j], ones[:, 1 << j : 2 << j] = own[:, :, 0], own[:, :, 1]
+    return zeros.ravel(), ones.ravel()
+
+
+# The corpus: anchors, and what follows them in other documents.
+
+def anchors_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place behind each anchor, its key, and the text that it is in."""
+    n = len(data)
+    if n < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    s, inv = power_sums(data)
+    key = mix64((s[WINDOW:] - s[:-WINDOW]) * inv[: n - WINDOW + 1])
+    at = np.flatnonzero(key % np.uint64(ANCHOR) == 0)
+    text = np.searchsorted(offs, at, side="right") - 1
+    ok = at + WINDOW <= offs[text + 1]
+    at = at[ok]
+    return at + WINDOW, key[at], text[ok]
+
+
+def _chunks(offs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    i = 0
+    while i < len(offs) - 1:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, doc, and the bytes up to the document's next anchor; a key once for each document."""
+    for b in batches:
+        data, offs = text_buffers(b.column(1))
+        doc = b.column(0).to_numpy()
+        for i, j in _chunks(offs, 1 << 20):
+            own, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            at, key, text = anchors_of(own, o)
+            if not len(at):
+                continue
+            end = np.r_[at[1:], 0]
+            last = np.r_[text[1:] != text[:-1], True]
+            end[last] = o[text[last] + 1]
+            order = np.lexsort((key, text))
+            fresh = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])]
+            first = np.sort(order[fresh])
+            first = first[end[first] > at[first]]
+            n = end[first] - at[first]
+            to = np.r_[0, np.cumsum(n)]
+            idx = np.arange(int(to[-1])) + np.repeat(at[first] - to[:-1], n)
+            rest = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(own[idx])])
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(doc[i:j][text[first]]), rest.cast(pa.binary())], names=["key", "doc", "rest"])
+
+
+def followers(docs: DataFrame) -> DataFrame:
+    """doc, found (key and what follows it in another document); docs: doc, text. A written table."""
+    anchors = written(docs.mapInArrow(_anchor_rows, "key long, doc long, rest binary"), "anchors")
+    # Two documents are enough for every one to have another.
+    shared = anchors.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b")
+    shared = written(shared, "shared")
+    sources = written(shared.select("key", F.explode(F.array("a", "b")).alias("doc")), "sources")
+    rests = matching(anchors, sources, ["key", "doc"]).groupBy("key").agg(F.min(F.struct("doc", "rest")).alias("x"), F.max(F.struct("doc", "rest")).alias("y"))
+    asked = matching(anchors.select("key", "doc"), written(rests, "rests"), ["key"])
+    found = asked.select("doc", F.struct("key", F.when(F.col("doc") != F.col("x.doc"), F.col("x.rest")).otherwise(F.col("y.rest")).alias("rest")).alias("found"))
+    return written(found.groupBy("doc").agg(F.collect_set("found").alias("found")), "followers")
+
+
+def guesses(data: np.ndarray, found: Mapping[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The byte that a match predicts at each place of one text, and the state of the match (0: none)."""
+    guess, state = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    at, key, _ = anchors_of(data, np.array([0, len(data)]))
+    for a, k in zip(at.tolist(), key.view(np.int64).tolist()):
+        if (rest := found.get(k)) is not None:
+            n = min(len(rest), len(data) - a)
+            guess[a : a + n] = np.frombuffer(rest, np.uint8, n)
+            state[a : a + n] = 1
+    place = np.arange(len(data))
+    missed = np.maximum.accumulate(np.where((state > 0) & (guess != data), place, -(1 << 40)))
+    run = place - 1 - np.r_[-(1 << 40), missed[:-1]] if len(data) else place
+    state[state > 0] += np.searchsorted(RUNS, run[state > 0], side="right").astype(np.uint8)
+    return guess, state
+
+
+# Coding.
+
+class Texts:
+    """Flat arrays by unit of some texts."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, bytes] | None], counts: tuple[np.ndarray, np.ndarray]):
+        self.u, self.offs = units(data, offs)
+        self.p1, self.p2 = before(self.u, self.offs, 1), before(self.u, self.offs, 2)
+        p3 = before(self.u, self.offs, 3)
+        self.hash = ((p3.astype(np.uint32) << 10) | (self.p2.astype(np.uint32) << 5) | self.p1) * np.uint32(0x9E3779B1)
+        self.known = self._without_own(*counts)
+        guess, state = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+        for i, f in enumerate(found):
+            if f:
+                guess[offs[i] : offs[i + 1]], state[offs[i] : offs[i + 1]] = guesses(data[offs[i] : offs[i + 1]], f)
+        # The guessed units of a byte, as long as those before were right.
+        code, right = _CODE[guess], _CODE[guess] == _CODE[data]
+        rare = _CODE[data] == RARE
+        at = np.zeros(len(data), np.int64)
+        np.cumsum(1 + 2 * rare[:-1].astype(np.int64), out=at[1:]) if len(data) > 1 else None
+        self.guess, self.state = np.zeros_like(self.u), np.zeros_like(self.u)
+        self.guess[at], self.state[at] = code, state
+        second = rare & right & (state > 0)
+        self.guess[at[second] + 1], self.state[at[second] + 1] = guess[second] >> 4, state[second]
+        third = second & (guess >> 4 == data >> 4)
+        self.guess[at[third] + 2], self.state[at[third] + 2] = guess[third] & 15, state[third]
+
+    def _without_own(self, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """Scaled log-odds by the corpus's counts, less the text's own, of each unit and place."""
+        f, size = np.float32, 1 << 15
+        out = np.empty((PLACES, len(self.u)), np.int8)
+        doc = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
+        zeros, ones = zeros.astype(f) + f(0.4), ones.astype(f) + f(0.4)
+        for i in range(0, len(self.offs) - 1, 32):
+            a, b = int(self.offs[i]), int(self.offs[min(i + 32, len(self.offs) - 1)])
+            u = self.u[a:b].astype(np.int64)
+            base = (self.p2[a:b].astype(np.int64) << 10) | (self.p1[a:b].astype(np.int64) << 5)
+            lane = (doc[a:b] - i) * (2 * size)
+            cells = np.stack([base + ((1 << j) | (u >> (PLACES - j))) for j in range(PLACES)])
+            pairs = cells * 2 + lane
+            n = np.bincount((pairs + np.stack([(u >> (PLACES - 1 - j)) & 1 for j in range(PLACES)])).ravel(), minlength=64 * size).astype(f)
+            x = ones[cells] - n[pairs + 1]
+            x /= zeros[cells] - n[pairs]
+            np.log(x, out=x)
+            x *= f(1 / SCALE)
+            np.rint(x.clip(-127, 127), out=x)
+            out[:, a:b] = x
+        return out
+
+
+def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
+    """Bits of texts, a lane each; own: their numbers, by falling length."""
+    f = np.float32
+    start, lens = t.offs[own], t.offs[own + 1] - t.offs[own]
+    lanes = len(own)
+    slots = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * lens, 1))).astype(np.int64))
+    table = np.zeros(lanes * 1024 + int(slots.sum()), f)
+    low = lanes * 1024 + np.cumsum(slots) - slots
+    mask = (slots - 1).astype(np.uint32)
+    lane = np.arange(lanes)
+    w = np.empty((PLACES, 4, N_IN, lanes), f)
+    w[:] = np.array(FIRST_WEIGHTS, f)[:, None]
+    w = w.reshape(PLACES, -1)
+    slope, shift = np.ones((PLACES, lanes), f), np.zeros((PLACES, lanes), f)
+    rates = np.array(TABLE_RATES, f)[:, None]
+    trust = np.array(TRUST, f)
+    bits = np.zeros(lanes)
     active = np.searchsorted(-lens, -np.arange(int(lens[0]) if lanes else 0), side="left").tolist()
-    last = -1
-    for t, a in enumerate(active):
-        if t % BLOCK == 0:  # symbols by place and lane, after HISTORY rows of those before
-            m = np.zeros((HISTORY + min(BLOCK, len(active) - t), a), np.uint8)
-            for lane, (at0, known, n) in enumerate(zip(start[:a].tolist(), before[:a].tolist(), lens[:a].tolist())):
-                known = min(HISTORY, known + t)
-                x = sym[at0 + t - known : at0 + min(n, t + BLOCK)]
-                m[HISTORY - known : HISTORY - known + len(x), lane] = x
-        if a != last:  # fewer lanes are left
-            last = a
-            i8, st, mul, base, idx = i8_.ravel()[: n_in * a].reshape(n_in, a), st_.ravel()[: n_in * a].reshape(n_in, a), mul_.ravel()[: n_in * a].reshape(n_in, a), base_.ravel()[: n_in * a].reshape(n_in, a), idx_.ravel()[: n_in * a].reshape(n_in, a)
-            dot, tmp, p, err, o, prod, bit, z = dot_[:a], tmp_[:a], p_[:a], err_[:a], o_[:a], prod_[:a], bit_[:a], z_[:a]
-            at, node, slot = at_[:a], node_[:a], slot_[:a]
-        place = t % BLOCK + HISTORY
-        rows = [m[place - d, :a] for d in range(1, HISTORY + 1)]
-        now = m[place, :a]
-        for k, order in enumerate(ORDERS):
-            np.left_shift(tables.directory[k][context(rows[:order], tables.bits[k])], 7, out=base[k], dtype=np.int64, casting="unsafe")
-        np.left_shift(rows[0], 7, out=slot, dtype=np.int64, casting="unsafe")
-        node[:] = 1
-        prod[:] = 1
-        for j in range(7):
-            np.bitwise_and(np.right_shift(now, 6 - j), 1, out=bit, casting="unsafe")
-            np.add(base, node, out=idx)
-            np.take(tables.flat, idx, out=i8, mode="clip")
-            np.multiply(i8, np.float32(SCALE), out=st, casting="unsafe")
-            ww = w[j, :, :a]
-            np.multiply(st, ww, out=mul)
-            np.add.reduce(mul, axis=0, out=dot)
-            # What the text itself has taught in this context.
-            np.add(slot, node, out=idx[0])
-            np.take(_CELL, idx[0], out=at, mode="clip")
-            at += lane_cell[:a]
-            np.take(own, at, out=o, mode="clip")
-            dot += o
-            np.negative(dot, out=p)
-            np.exp(p, out=p)
-            p += one
-            np.reciprocal(p, out=p)
-            # The refined prediction: a logistic map of the mixed one.
-            sl, sh = slope[j, :a], shift[j, :a]
-            np.multiply(dot, sl, out=z)
-            z += sh
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += one
-            np.reciprocal(z, out=z)
-            np.clip(z, LEAST, 1 - LEAST, out=z)
-            np.add(z, bit, out=tmp)
-            tmp -= one
-            np.abs(tmp, out=tmp)
-            prod *= tmp
-            # Learning.
-            np.subtract(bit, z, out=tmp)
-            tmp *= np.float32(MAP_RATE)
-            sh += tmp
-            np.clip(dot, -8, 8, out=z)
-            tmp *= z
-            tmp *= np.float32(0.1)
-            sl += tmp
-            np.subtract(bit, p, out=err)
-            np.multiply(err, np.float32(TABLE_RATE), out=tmp)
-            o += tmp
-            own[at] = o
-            err *= np.float32(RATE)
-            np.multiply(st, err, out=mul)
-            ww += mul
-            node += node
-            np.add(node, bit, out=node, casting="unsafe")
-        bits[:a] -= np.log2(prod)
+    at = 0
+    while at < len(active):
+        a = active[at]
+        block = min(len(active) - at, max(8, BLOCK // a))
+        while active[at + block - 1] < a - a // 8:  # most lanes last to the block's end
+            block = (block + 1) // 2
+        idx = np.minimum(start[:a] + at + np.arange(block)[:, None], (start + lens - 1)[:a])
+        u, guess, state = t.u[idx], t.guess[idx], t.state[idx]
+        first, hashed = lane[:a] * 1024 + (t.p1[idx].astype(np.int64) << 5), t.hash[idx]
+        cell, gate = np.empty((block, PLACES, 2, a), np.int64), np.empty((block, PLACES, N_IN, a), np.int64)
+        given, bit_of = np.empty((block, PLACES, 2, a), f), np.empty((block, PLACES, a), f)
+        for j in range(PLACES):
+            node = (1 << j) | (u >> (PLACES - j)).astype(np.uint32)
+            np.add(first, node, out=cell[:, j, 0], casting="unsafe")
+            x = hashed + node * _NODE_MULT
+            x ^= x >> np.uint32(15)
+            x *= _HASH_MULT
+            x ^= x >> np.uint32(13)
+            np.add(low[:a], x & mask[:a], out=cell[:, j, 1], casting="unsafe")
+            np.multiply(t.known[j][idx], f(SCALE), out=given[:, j, 0], casting="unsafe")
+            bit_of[:, j] = (u >> (PLACES - 1 - j)) & 1
+            s = np.where(guess >> (PLACES - j) == u >> (PLACES - j), state, 0)
+            np.multiply(trust[s], ((guess >> (PLACES - 1 - j)) & 1) * f(2) - f(1), out=given[:, j, 1])
+            np.add((s.astype(np.int64) * (N_IN * lanes) + lane[:a])[:, None], (np.arange(N_IN) * lanes)[:, None], out=gate[:, j])
+        # Lanes that end within the block go on with it, but don't count any more.
+        here = np.arange(block)[:, None] + at < lens[:a]
+        st, wv, mul = (np.empty((N_IN, a), f) for _ in range(3))
+        logit, p = np.empty((4, a), f), np.empty((4, a), f)
+        tmp, err, prod = (np.empty(a, f) for _ in range(3))
+        o, dot, z_in = logit[2:], logit[0], logit[1]
+        for k in range(block):
+            prod[:] = 1
+            for j in range(PLACES):
+                c, g, bit = cell[k, j], gate[k, j], bit_of[k, j]
+                np.take(table, c, out=o, mode="clip")
+                st[:2] = o
+                st[2:] = given[k, j]
+                # The set of weights: by place and by state of the match.
+                np.take(w[j], g, out=wv, mode="clip")
+                np.multiply(st, wv, out=mul)
+                np.add.reduce(mul, axis=0, out=dot)
+                # The refined prediction: a logistic map of the mixed one.
+                sl, sh = slope[j, :a], shift[j, :a]
+                np.multiply(dot, sl, out=z_in)
+                z_in += sh
+                np.negative(logit, out=p)
+                np.exp(p, out=p)
+                p += f(1)
+                np.reciprocal(p, out=p)
+                z = p[1]
+                np.clip(z, LEAST, 1 - LEAST, out=z)
+                np.subtract(bit, p, out=p)  # what each prediction was wrong by
+                np.abs(z, out=tmp)
+                np.subtract(f(1), tmp, out=tmp)
+                prod *= tmp
+                # Learning.
+                np.multiply(z, f(MAP_RATE), out=tmp)
+                sh += tmp
+                tmp *= dot
+                tmp *= f(0.1)
+                sl += tmp
+                p[2:] *= rates
+                o += p[2:]
+                table[c] = o
+                np.multiply(p[0], f(RATE), out=err)
+                np.multiply(st, err, out=mul)
+                wv += mul
+                w[j][g] = wv
+            np.log2(prod, out=prod)
+            bits[:a] -= np.where(here[k], prod, 0)
+        at += block
     return bits
 
 
-def score_batch(data: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarray:
+def score_batch(data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, bytes] | None], counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Bits of each text."""
-    sym, at = symbols(data, offs)
-    n = np.diff(at)
-    parts = -(-n // SEGMENT)
-    doc = np.repeat(np.arange(len(n)), parts)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = at[:-1][doc] + nth * SEGMENT
-    length = np.minimum(SEGMENT, at[1:][doc] - start)
+    t = Texts(data, offs, found, counts)
+    n = np.diff(t.offs)
     out = np.zeros(len(n))
-    order = np.argsort(-length, kind="stable")
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
     for s in range(0, len(order), LANES):
         own = order[s : s + LANES]
-        np.add.at(out, doc[own], code_lengths(sym, start[own], np.minimum(HISTORY, nth[own] * SEGMENT), length[own], tables))
+        out[own] = code_lengths(t, own)
     return out
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, bits, bits_per_byte: one row for each document."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(corpus_tables(docs))
+    counts = docs.sparkSession.sparkContext.broadcast(node_counts(corpus_counts(docs)))
     schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,25 +372,31 @@ def score(docs: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             data, offs = text_buffers(t["text"])
-            bits = score_batch(data, offs, shared.value)
+            found = [{x["key"]: x["rest"] for x in f} if f else None for f in t["found"].to_pylist()]
+            bits = score_batch(data, offs, found, counts.value)
             n = np.diff(offs)
             rate = pa.array(bits / np.maximum(n, 1), mask=n == 0)
             return pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(bits), rate], schema=schema)
 
         for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size > HELD:
-                yield done()
-                held, size = [], 0
+            i, (_, offs) = 0, text_buffers(b.column("text"))
+            while i < b.num_rows:  # no more than HELD bytes at a time, but for a single text
+                j = min(b.num_rows, max(i + 1, int(np.searchsorted(offs, offs[i] + HELD - size, side="right")) - 1))
+                held.append(b.slice(i, j - i))
+                size += int(offs[j] - offs[i])
+                i = j
+                if i < b.num_rows or size >= HELD:
+                    yield done()
+                    held, size = [], 0
         if held:
             yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = partly_joined(rows, followers(rows.select("doc", "text")), ["doc"]).select("doc_id", "text", "found")
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     out = "doc_id long, bits double, bits_per_byte double"
+    long_bytes = docs.select("text").filter(size > LONG).agg(F.sum(size.cast("long"))).first()[0]
     scored = rows.filter(size <= LONG).mapInArrow(run, out)
-    long_bytes = rows.filter(size > LONG).agg(F.sum(size.cast("long"))).first()[0]
     if long_bytes:
         together = rows.filter(size > LONG).repartitionByRange(math.ceil(long_bytes / HELD), F.desc(F.octet_length("text"))).sortWithinPartitions(F.desc(F.octet_length("text")))
         scored = together.mapInArrow(run, out).unionByName(scored)

@@ -28,6 +28,14 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def power_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of bytes times powers, and the powers' inverses: (s[b] - s[a]) * inv[a] is a hash of data[a:b]."""
+    p, inv = _pow(len(data))
+    s = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p, out=s[1:])
+    return s, inv
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the number of words before each text (one more at the end)."""
     if not len(data):
@@ -41,9 +49,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     nxt = np.empty_like(m)
     nxt[-1], nxt[:-1] = False, m[1:]
     end = np.flatnonzero(m & (~nxt | begins[1:])) + 1
-    p, inv = _pow(len(data))
-    s = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p, out=s[1:])
+    s, inv = power_sums(data)
     h = mix64((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
     return h, np.searchsorted(start, offs)
 
