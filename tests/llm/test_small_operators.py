@@ -464,7 +464,7 @@ def scalar_bits(text, found, others):
             state[i] = 1 + sum(i - 1 - miss >= r for r in lm_scoring.RUNS)
             miss = i if guess[i] != raw[i] else miss
     n = len(us)
-    slots = max(64, 1 << max(0, math.ceil(math.log2(max(2 * n, 1)))))
+    slots = max(64, 1 << max(0, math.ceil(math.log2(max(n, 1)))))
     low, high = np.zeros(1024, f), np.zeros(slots, f)
     w = np.array([[list(lm_scoring.FIRST_WEIGHTS)] * 4] * 5, f)
     slope, shift = np.ones(5, f), np.zeros(5, f)
@@ -492,11 +492,11 @@ def scalar_bits(text, found, others):
             st = np.array([low[c1], high[c3], np.rint(np.clip(odds / lm_scoring.SCALE, -127, 127)) * lm_scoring.SCALE, m], f)
             dot = (st * w[j, here]).sum()
             p, z = sig(dot), sig(dot * slope[j] + shift[j])
-            z = min(max(z, lm_scoring.LEAST), 1 - lm_scoring.LEAST)
+            z = z * (1 - 2 * lm_scoring.LEAST) + lm_scoring.LEAST
             total -= np.log2(z if bit else 1 - z)
             step = lm_scoring.MAP_RATE * (bit - z)
             shift[j] += step
-            slope[j] += step * dot * 0.1
+            slope[j] += step * dot
             low[c1] += lm_scoring.TABLE_RATES[0] * (bit - sig(low[c1]))
             high[c3] += lm_scoring.TABLE_RATES[1] * (bit - sig(high[c3]))
             w[j, here] += st * f(lm_scoring.RATE * (bit - p))

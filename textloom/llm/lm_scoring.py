@@ -14,8 +14,7 @@ A unit has 5 bits: one for each of the 31 most usual bytes, and three for any
 other byte (a mark and its two halves). Many texts are coded side by side, a
 lane each, from their first unit to their last: numpy does the same bit of all
 of them at a time. Texts over LONG bytes are brought together by length first.
-The hashed table of a text has twice as many slots as the text has units, at
-least.
+The hashed table of a text has as many slots as the text has units, at least.
 
 What is gathered from the corpus: counts of units by the two before, of all
 documents, added up by tasks; and anchors, the places of texts where a hash of
@@ -50,15 +49,14 @@ from textloom.llm.shingles import power_sums
 USUAL = b" etaoinshrdlcumfpgwybvkxjqz\n.,-"
 RARE, PLACES = 31, 5
 WINDOW, ANCHOR = 24, 64
-LONG, HELD, LANES, BLOCK = 8 << 10, 8 << 20, 2048, 1 << 15
+LONG, HELD, LANES, BLOCK = 8 << 10, 12 << 20, 4096, 1 << 15
 COUNT_PARTS, SLICES = 32, 64
 #: Rates of the weights, of the two tables by order, and of the map.
-RATE, TABLE_RATES, MAP_RATE = 0.02, (0.35, 1.1), 0.02
+RATE, TABLE_RATES, MAP_RATE = 0.02, (0.35, 1.1), 0.005
 FIRST_WEIGHTS, TRUST = (0.3, 0.4, 0.6, 1.0), (0.0, 1.0, 2.5, 5.0)
 #: Bytes since the last miss of a match, by state.
 RUNS = (8, 32)
 SCALE, LEAST = 1 / 15.0, 1 / 4096
-N_IN = 4
 
 _CODE = np.full(256, RARE, np.uint8)
 _CODE[list(USUAL)] = np.arange(len(USUAL))
@@ -212,9 +210,6 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, bytes] | None], counts: tuple[np.ndarray, np.ndarray]):
         self.u, self.offs = units(data, offs)
-        self.p1, self.p2 = before(self.u, self.offs, 1), before(self.u, self.offs, 2)
-        p3 = before(self.u, self.offs, 3)
-        self.hash = ((p3.astype(np.uint32) << 10) | (self.p2.astype(np.uint32) << 5) | self.p1) * np.uint32(0x9E3779B1)
         self.known = self._without_own(*counts)
         guess, state = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
         for i, f in enumerate(found):
@@ -234,24 +229,29 @@ class Texts:
 
     def _without_own(self, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
         """Scaled log-odds by the corpus's counts, less the text's own, of each unit and place."""
-        f, size = np.float32, 1 << 15
+        f = np.float32
+        p1, p2 = before(self.u, self.offs, 1), before(self.u, self.offs, 2)
         out = np.empty((PLACES, len(self.u)), np.int8)
         doc = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
         zeros, ones = zeros.astype(f) + f(0.4), ones.astype(f) + f(0.4)
-        for i in range(0, len(self.offs) - 1, 32):
-            a, b = int(self.offs[i]), int(self.offs[min(i + 32, len(self.offs) - 1)])
-            u = self.u[a:b].astype(np.int64)
-            base = (self.p2[a:b].astype(np.int64) << 10) | (self.p1[a:b].astype(np.int64) << 5)
-            lane = (doc[a:b] - i) * (2 * size)
+        for i in range(0, len(self.offs) - 1, 64):
+            a, b = int(self.offs[i]), int(self.offs[min(i + 64, len(self.offs) - 1)])
+            u = self.u[a:b]
+            place = ((doc[a:b] - i) << 10) | (p2[a:b].astype(np.int64) << 5) | p1[a:b]
+            seen = np.zeros(64 << 10, bool)
+            seen[place] = True
+            own = np.flatnonzero(seen)  # the texts' contexts, in dense rows of 32 cells
+            base = ((np.cumsum(seen) - 1) << 5)[place]
             cells = np.stack([base + ((1 << j) | (u >> (PLACES - j))) for j in range(PLACES)])
-            pairs = cells * 2 + lane
-            n = np.bincount((pairs + np.stack([(u >> (PLACES - 1 - j)) & 1 for j in range(PLACES)])).ravel(), minlength=64 * size).astype(f)
-            x = ones[cells] - n[pairs + 1]
-            x /= zeros[cells] - n[pairs]
-            np.log(x, out=x)
-            x *= f(1 / SCALE)
-            np.rint(x.clip(-127, 127), out=x)
-            out[:, a:b] = x
+            bits = np.stack([(u >> (PLACES - 1 - j)) & 1 for j in range(PLACES)])
+            n = np.bincount((2 * cells + bits).ravel(), minlength=len(own) << 6).reshape(-1, 2)
+            used = np.flatnonzero(n[:, 0] + n[:, 1])
+            cell = ((own[used >> 5] & 1023) << 5) | (used & 31)
+            x = ones[cell] - n[used, 1].astype(f)
+            x /= zeros[cell] - n[used, 0].astype(f)
+            odds = np.zeros(len(n), np.int8)
+            odds[used] = np.rint((np.log(x) * f(1 / SCALE)).clip(-127, 127))
+            out[:, a:b] = odds[cells]
         return out
 
 
@@ -260,17 +260,21 @@ def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
     f = np.float32
     start, lens = t.offs[own], t.offs[own + 1] - t.offs[own]
     lanes = len(own)
-    slots = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * lens, 1))).astype(np.int64))
+    slots = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(lens, 1))).astype(np.int64))
     table = np.zeros(lanes * 1024 + int(slots.sum()), f)
     low = lanes * 1024 + np.cumsum(slots) - slots
     mask = (slots - 1).astype(np.uint32)
     lane = np.arange(lanes)
-    w = np.empty((PLACES, 4, N_IN, lanes), f)
-    w[:] = np.array(FIRST_WEIGHTS, f)[:, None]
-    w = w.reshape(PLACES, -1)
+    # Without a match there is one set of weights for each place, and no fourth predictor.
+    matched = bool(max(t.state[x : x + n].any() for x, n in zip(start.tolist(), lens.tolist())))
+    states, n_in = (4, 4) if matched else (1, 3)
+    w = np.empty((PLACES, states, n_in, lanes), f)
+    w[:] = np.array(FIRST_WEIGHTS[:n_in], f)[:, None]
+    flat = w.reshape(PLACES, -1)
     slope, shift = np.ones((PLACES, lanes), f), np.zeros((PLACES, lanes), f)
     rates = np.array(TABLE_RATES, f)[:, None]
     trust = np.array(TRUST, f)
+    one, least, within, rate, map_rate = f(1), f(LEAST), f(1 - 2 * LEAST), f(RATE), f(MAP_RATE)
     bits = np.zeros(lanes)
     active = np.searchsorted(-lens, -np.arange(int(lens[0]) if lanes else 0), side="left").tolist()
     at = 0
@@ -280,10 +284,15 @@ def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
         while active[at + block - 1] < a - a // 8:  # most lanes last to the block's end
             block = (block + 1) // 2
         idx = np.minimum(start[:a] + at + np.arange(block)[:, None], (start + lens - 1)[:a])
-        u, guess, state = t.u[idx], t.guess[idx], t.state[idx]
-        first, hashed = lane[:a] * 1024 + (t.p1[idx].astype(np.int64) << 5), t.hash[idx]
-        cell, gate = np.empty((block, PLACES, 2, a), np.int64), np.empty((block, PLACES, N_IN, a), np.int64)
-        given, bit_of = np.empty((block, PLACES, 2, a), f), np.empty((block, PLACES, a), f)
+        u = t.u[idx]
+        back = [t.u[np.maximum(idx - d, start[:a])] for d in (1, 2, 3)]
+        for d in range(1, 4):
+            back[d - 1][: max(0, d - at)] = 0  # nothing is known from before a text
+        first = lane[:a] * 1024 + (back[0].astype(np.int64) << 5)
+        hashed = ((back[2].astype(np.uint32) << 10) | (back[1].astype(np.uint32) << 5) | back[0]) * np.uint32(0x9E3779B1)
+        cell, given, bit_of = np.empty((block, PLACES, 2, a), np.int64), np.empty((block, PLACES, n_in - 2, a), f), np.empty((block, PLACES, a), f)
+        if matched:
+            guess, state, gate = t.guess[idx], t.state[idx], np.empty((block, PLACES, n_in, a), np.int64)
         for j in range(PLACES):
             node = (1 << j) | (u >> (PLACES - j)).astype(np.uint32)
             np.add(first, node, out=cell[:, j, 0], casting="unsafe")
@@ -291,28 +300,34 @@ def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
             x ^= x >> np.uint32(15)
             x *= _HASH_MULT
             x ^= x >> np.uint32(13)
-            np.add(low[:a], x & mask[:a], out=cell[:, j, 1], casting="unsafe")
+            x &= mask[:a]
+            np.add(low[:a], x, out=cell[:, j, 1], casting="unsafe")
             np.multiply(t.known[j][idx], f(SCALE), out=given[:, j, 0], casting="unsafe")
             bit_of[:, j] = (u >> (PLACES - 1 - j)) & 1
-            s = np.where(guess >> (PLACES - j) == u >> (PLACES - j), state, 0)
-            np.multiply(trust[s], ((guess >> (PLACES - 1 - j)) & 1) * f(2) - f(1), out=given[:, j, 1])
-            np.add((s.astype(np.int64) * (N_IN * lanes) + lane[:a])[:, None], (np.arange(N_IN) * lanes)[:, None], out=gate[:, j])
+            if matched:
+                s = np.where(guess >> (PLACES - j) == u >> (PLACES - j), state, 0)
+                np.multiply(trust[s], ((guess >> (PLACES - 1 - j)) & 1) * f(2) - f(1), out=given[:, j, 1])
+                np.add((s.astype(np.int64) * (n_in * lanes) + lane[:a])[:, None], (np.arange(n_in) * lanes)[:, None], out=gate[:, j])
         # Lanes that end within the block go on with it, but don't count any more.
         here = np.arange(block)[:, None] + at < lens[:a]
-        st, wv, mul = (np.empty((N_IN, a), f) for _ in range(3))
+        chosen, mul = np.empty((n_in, a), f), np.empty((n_in, a), f)
         logit, p = np.empty((4, a), f), np.empty((4, a), f)
         tmp, err, prod = (np.empty(a, f) for _ in range(3))
-        o, dot, z_in = logit[2:], logit[0], logit[1]
+        o, dot, z_in, p_mix, z, p_own = logit[2:], logit[0], logit[1], p[0], p[1], p[2:]
+        own_mul, given_mul = mul[:2], mul[2:]
         for k in range(block):
             prod[:] = 1
             for j in range(PLACES):
-                c, g, bit = cell[k, j], gate[k, j], bit_of[k, j]
-                np.take(table, c, out=o, mode="clip")
-                st[:2] = o
-                st[2:] = given[k, j]
+                c, more, bit = cell[k, j], given[k, j], bit_of[k, j]
+                table.take(c, out=o, mode="clip")
                 # The set of weights: by place and by state of the match.
-                np.take(w[j], g, out=wv, mode="clip")
-                np.multiply(st, wv, out=mul)
+                if matched:
+                    g = gate[k, j]
+                    wv = flat[j].take(g, out=chosen, mode="clip")
+                else:
+                    wv = w[j, 0, :, :a]
+                np.multiply(o, wv[:2], out=own_mul)
+                np.multiply(more, wv[2:], out=given_mul)
                 np.add.reduce(mul, axis=0, out=dot)
                 # The refined prediction: a logistic map of the mixed one.
                 sl, sh = slope[j, :a], shift[j, :a]
@@ -320,27 +335,28 @@ def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
                 z_in += sh
                 np.negative(logit, out=p)
                 np.exp(p, out=p)
-                p += f(1)
+                p += one
                 np.reciprocal(p, out=p)
-                z = p[1]
-                np.clip(z, LEAST, 1 - LEAST, out=z)
-                np.subtract(bit, p, out=p)  # what each prediction was wrong by
+                z *= within
+                z += least
+                np.subtract(bit, p, out=p)  # what each prediction is wrong by
                 np.abs(z, out=tmp)
-                np.subtract(f(1), tmp, out=tmp)
+                np.subtract(one, tmp, out=tmp)
                 prod *= tmp
                 # Learning.
-                np.multiply(z, f(MAP_RATE), out=tmp)
-                sh += tmp
-                tmp *= dot
-                tmp *= f(0.1)
-                sl += tmp
-                p[2:] *= rates
-                o += p[2:]
-                table[c] = o
-                np.multiply(p[0], f(RATE), out=err)
-                np.multiply(st, err, out=mul)
+                z *= map_rate
+                sh += z
+                z *= dot
+                sl += z
+                np.multiply(p_mix, rate, out=err)
+                np.multiply(o, err, out=own_mul)
+                np.multiply(more, err, out=given_mul)
                 wv += mul
-                w[j][g] = wv
+                if matched:
+                    flat[j][g] = wv
+                p_own *= rates
+                o += p_own
+                table[c] = o
             np.log2(prod, out=prod)
             bits[:a] -= np.where(here[k], prod, 0)
         at += block
@@ -353,10 +369,11 @@ def score_batch(data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, byt
     n = np.diff(t.offs)
     out = np.zeros(len(n))
     order = np.argsort(-n, kind="stable")
-    order = order[n[order] > 0]
-    for s in range(0, len(order), LANES):
-        own = order[s : s + LANES]
-        out[own] = code_lengths(t, own)
+    matched = np.array([bool(f) for f in found], bool)[order]
+    for group in (order[matched & (n[order] > 0)], order[~matched & (n[order] > 0)]):
+        for s in range(0, len(group), LANES):
+            own = group[s : s + LANES]
+            out[own] = code_lengths(t, own)
     return out
 
 
