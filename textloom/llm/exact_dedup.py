@@ -3,9 +3,16 @@
 The stream reads a log of (digest, stable identifier, content locator), one
 row for each document. Its state, kept by RocksDB without expiry, has for
 each digest the identifier and locator of its keeper and the number of rows
-seen. The digests that the state has met more than once are hits; their
-documents' full bytes are compared with the keeper's, so that a collision of
-digests can't remove a document.
+seen. A locator says in which file (by a hash of its path) and at which row
+the content lies. Digests that the state has met more than once are hits: the
+contents of their rows and of the state's keeper are looked up by their
+locators, and their full bytes compared, so that a collision of digests can't
+remove a document. Rows with other bytes than the keeper are grouped by their
+whole text. Only keys and the texts of hits are shuffled; keepers are joined
+to the other rows, so a text that many rows have can be split.
+
+Documents that aren't rows of Parquet files are written into the shared
+folder first, and located there.
 
 Defined results: documents are copies if their texts have the same bytes. The
 keeper of a set of copies is the one with the smallest doc_id (null before
@@ -19,10 +26,11 @@ and kept by `dedup_filter`, for repeated ids those of any one of the rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh_path, maybe_broadcast, written
+from textloom.llm.common import fresh_path, matching, row_of, without, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH_BYTES = 8 << 30
@@ -42,7 +50,7 @@ def run_state(spark: SparkSession, log_dir: str, state_dir: str, out_dir: str, s
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        log = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(log_dir)
+        log = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(log_dir).filter("digest is not null")
         state = log.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("n"))
 
         def keep(batch: DataFrame, n: int) -> None:
@@ -55,7 +63,7 @@ def run_state(spark: SparkSession, log_dir: str, state_dir: str, out_dir: str, s
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    shape = f"digest string, keeper struct<doc_id:{dict(schema.jsonValue() and [(f.name, f.dataType.simpleString()) for f in schema])['doc_id']},locator:string>, n long, batch long"
+    shape = f"digest string, keeper struct<doc_id:{schema['doc_id'].dataType.simpleString()},locator:{schema['locator'].dataType.simpleString()}>, n long, batch long"
     try:
         seen = spark.read.schema(shape).parquet(out_dir)
     except Exception as e:  # nothing was ever written: an empty log has no batch
@@ -66,50 +74,53 @@ def run_state(spark: SparkSession, log_dir: str, state_dir: str, out_dir: str, s
     return seen.groupBy("digest").agg(F.max_by("keeper", "batch").alias("keeper")).select("digest", "keeper")
 
 
-def _hits(docs: DataFrame, bits: int, batch_bytes: int) -> DataFrame:
-    """digest and keeper of every digest that comes more than once; a written table."""
-    spark = docs.sparkSession
-    log = docs.select(
-        digest_of(F.col("text"), bits).alias("digest"), F.col("doc_id"),
-        # The locator names the content by its length and a second hash, which narrow what must be read.
-        F.concat_ws(":", F.octet_length("text"), F.hex(F.xxhash64("text"))).alias("locator"),
-    ).filter("digest is not null")
-    root = fresh_path(spark, "dedup")
-    log.write.parquet(f"{root}/log")
-    return written(run_state(spark, f"{root}/log", f"{root}/state", f"{root}/out", log.schema, batch_bytes), "hits")
-
-
-def _judged(docs: DataFrame, bits: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Rows whose digest is no hit, and rows of hits with __tl_keeper (id) and __tl_kept, by their full bytes."""
-    hits = _hits(docs, bits, batch_bytes)
-    side = maybe_broadcast(hits.select(F.col("digest").alias("__tl_digest")), 80)
-    rows = docs.withColumn("__tl_digest", digest_of(F.col("text"), bits))
-    alone = rows.join(side, "__tl_digest", "left_anti").drop("__tl_digest")
-    again = rows.join(side, "__tl_digest", "left_semi")
-    return alone, again
+def _located(docs: DataFrame) -> DataFrame:
+    """row (all columns), text, doc_id, and the locator's file and at."""
+    columns = [row_of(docs), F.col("text"), F.col("doc_id")]
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    try:
+        return docs.select(*columns, *place)
+    except AnalysisException:  # not the rows of Parquet files
+        return written(docs.select(*columns), "contents").select("row", "text", "doc_id", *place)
 
 
-def _full_bytes(again: DataFrame, hits_cols: list[str]) -> DataFrame:
-    # One shuffle by digest; rows of a digest are told apart by their whole text.
-    same = Window.partitionBy("__tl_digest", "text")
-    first = same.orderBy(F.col("doc_id").asc_nulls_first())
-    return again.select(*hits_cols, F.row_number().over(first).alias("__tl_n"), F.first("doc_id").over(first).alias("__tl_keeper"))
+def _verdicts(rows: DataFrame, bits: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The log (digest, doc_id, locator) of all rows, and file, at, keeper_id, kept of the rows whose digests came again; written tables."""
+    spark = rows.sparkSession
+    root = fresh_path(spark, "dedup")
+    log = rows.select(digest_of(F.col("text"), bits).alias("digest"), "doc_id", F.struct("file", "at").alias("locator"))
+    log.write.option("compression", "zstd").parquet(f"{root}/log")
+    hits = written(run_state(spark, f"{root}/log", f"{root}/state", f"{root}/out", log.schema, batch_bytes), "hits")
+    log = spark.read.schema(log.schema).parquet(f"{root}/log")
+    again = matching(log, hits, ["digest"]).select(
+        "digest", "doc_id", "locator.*", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.locator.file").alias("keeper_file"), F.col("keeper.locator.at").alias("keeper_at")
+    )
+    again = written(again, "again")
+    texts = matching(rows.select("file", "at", "text"), again, ["file", "at"])
+    is_keeper = (F.col("file") == F.col("keeper_file")) & (F.col("at") == F.col("keeper_at"))
+    keepers = texts.filter(is_keeper).select("keeper_file", "keeper_at", F.col("text").alias("keeper_text"))
+    held = written(texts.filter(~is_keeper).join(keepers, ["keeper_file", "keeper_at"]).withColumn("same", F.col("text") == F.col("keeper_text")).select(
+        "file", "at", "digest", "doc_id", "keeper_id", "same", F.when(~F.col("same"), F.col("text")).alias("text")
+    ), "held")
+    # True collisions are told apart by their whole texts.
+    first = Window.partitionBy("digest", "text").orderBy(F.col("doc_id").asc_nulls_first(), "file", "at")
+    other = held.filter("not same").select("file", "at", F.first("doc_id").over(first).alias("keeper_id"), (F.row_number().over(first) == 1).alias("kept"))
+    own = again.filter(is_keeper).select("file", "at", "keeper_id", F.lit(True).alias("kept"))
+    return log, written(own.unionByName(held.filter("same").select("file", "at", "keeper_id", F.lit(False).alias("kept"))).unionByName(other), "verdicts")
 
 
 def dedup(docs: DataFrame, bits: int = 128, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, keeper_id, kept: one row for each row of docs."""
-    alone, again = _judged(docs.select("doc_id", "text"), bits, batch_bytes)
-    hit = _full_bytes(again, ["doc_id"])
-    return alone.select("doc_id", F.col("doc_id").alias("keeper_id"), F.lit(True).alias("kept")).unionByName(
-        hit.select("doc_id", F.col("__tl_keeper").alias("keeper_id"), (F.col("__tl_n") == 1).alias("kept"))
-    )
+    log, verdicts = _verdicts(_located(docs.select("doc_id", "text")), bits, batch_bytes)
+    judged = log.select("doc_id", "locator.*").join(verdicts, ["file", "at"], "left")
+    return judged.select("doc_id", F.when(F.col("kept").isNull(), F.col("doc_id")).otherwise(F.col("keeper_id")).alias("keeper_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def dedup_filter(docs: DataFrame, bits: int = 128, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The kept rows of docs, with their columns."""
-    alone, again = _judged(docs, bits, batch_bytes)
-    hit = _full_bytes(again, docs.columns).filter("__tl_n = 1").select(*docs.columns)
-    return alone.select(*docs.columns).unionByName(hit)
+    rows = _located(docs)
+    gone = written(_verdicts(rows, bits, batch_bytes)[1].filter("not kept").select("file", "at"), "gone")
+    return without(rows.select("row", "file", "at"), gone, ["file", "at"]).select("row.*")
 
 
 DEDUP_SQL = """
