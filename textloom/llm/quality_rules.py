@@ -3,7 +3,9 @@
 Two histograms of a document are compared with its language's: of character
 classes (lower case, upper case, digits, white space, sentence punctuation,
 the rest) and of common words (the language's function words, and all other
-words). The references are those of all documents of the language together.
+words). The references are those of all documents of the language together,
+or given ones. Histograms are made once and kept; a filter's decisions are
+those of (language, hash of the text), by which the rejected rows are found.
 The measure is the Jensen-Shannon distance with base 2, from 0 to 1. A
 document is rejected if a distance passes its threshold; a histogram of too
 few characters or words isn't judged.
@@ -24,7 +26,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import maybe_broadcast, written
+from textloom.llm.common import maybe_broadcast, row_of, without, written
 
 MIN_CHARS, MIN_WORDS, MAX_CHARS_JS, MAX_WORDS_JS = 300, 60, 0.25, 0.345
 
@@ -98,18 +100,23 @@ def _histograms(docs: DataFrame, words) -> DataFrame:
     return h.withColumn("__tl_w", F.concat(own, F.array(F.element_at("__tl_w", -1) - _sum(own))))
 
 
-def references(docs: DataFrame, words: Mapping[str, Sequence[str]] = COMMON_WORDS) -> DataFrame:
-    """One row for each language: __tl_lang, ref_c and ref_w, the sums of its documents' histograms."""
+def _references(h: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
     most = max([0, *map(len, words.values())]) + 1
-    h = _histograms(docs.select("text", "lang"), words)
     c = [F.sum(F.col("__tl_c")[i]) for i in range(len(CLASSES))]
     w = [F.sum(F.try_element_at("__tl_w", F.lit(i + 1))) for i in range(most)]
     return h.groupBy("__tl_lang").agg(F.array(*c).alias("ref_c"), F.filter(F.array(*w), lambda x: x.isNotNull()).alias("ref_w"))
 
 
-def _judged(docs: DataFrame, words, min_chars, min_words, max_chars_js, max_words_js) -> DataFrame:
-    refs = maybe_broadcast(written(references(docs, words), "refs"), 600)
-    j = _histograms(docs, words).join(refs, "__tl_lang", "left")
+def references(docs: DataFrame, words: Mapping[str, Sequence[str]] = COMMON_WORDS) -> DataFrame:
+    """One row for each language: lang, ref_c and ref_w, the sums of its documents' histograms."""
+    return _references(_histograms(docs.select("text", "lang"), words), words).withColumnRenamed("__tl_lang", "lang")
+
+
+def _judged(docs: DataFrame, words, min_chars, min_words, max_chars_js, max_words_js, given: DataFrame | None) -> DataFrame:
+    """docs (with lang and text) without the text, and __tl_jc, __tl_jw and __tl_keep; of a table of histograms."""
+    h = written(_histograms(docs, words).drop("text"), "histograms")
+    refs = written(_references(h, words) if given is None else given.select(F.coalesce("lang", F.lit("\u0001null")).alias("__tl_lang"), "ref_c", "ref_w"), "refs")
+    j = h.join(maybe_broadcast(refs, 600), "__tl_lang", "left")
     n_chars, n_words = _sum("__tl_c"), _sum("__tl_w")
     j = j.withColumns({
         "__tl_jc": F.when(n_chars >= min_chars, F.round(js_distance(F.col("__tl_c"), F.col("ref_c")), 6)),
@@ -119,16 +126,21 @@ def _judged(docs: DataFrame, words, min_chars, min_words, max_chars_js, max_word
     return j.withColumn("__tl_keep", ~bad)
 
 
-def judge(docs: DataFrame, words: Mapping[str, Sequence[str]] = COMMON_WORDS, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
-    """doc_id, lang, chars_js, words_js, keep: one row for each document."""
-    j = _judged(docs.select("doc_id", "lang", "text"), words, min_chars, min_words, max_chars_js, max_words_js)
+def judge(docs: DataFrame, words: Mapping[str, Sequence[str]] = COMMON_WORDS, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS, given: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, chars_js, words_js, keep: one row for each document. given: references to use, as `references` makes them."""
+    j = _judged(docs.select("doc_id", "lang", "text"), words, min_chars, min_words, max_chars_js, max_words_js, given)
     return j.select("doc_id", "lang", F.col("__tl_jc").alias("chars_js"), F.col("__tl_jw").alias("words_js"), F.col("__tl_keep").alias("keep"))
 
 
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     """The documents that aren't rejected, with their columns."""
-    p = {"words": COMMON_WORDS, "min_chars": MIN_CHARS, "min_words": MIN_WORDS, "max_chars_js": MAX_CHARS_JS, "max_words_js": MAX_WORDS_JS} | limits
-    return _judged(docs, **p).filter("__tl_keep").select(*docs.columns)
+    p = {"words": COMMON_WORDS, "min_chars": MIN_CHARS, "min_words": MIN_WORDS, "max_chars_js": MAX_CHARS_JS, "max_words_js": MAX_WORDS_JS, "given": None} | limits
+    # A row is found again by its language and by its text's hash and length.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = [F.coalesce("lang", F.lit("\u0001null")).alias("k"), F.xxhash64(text).alias("xx"), F.octet_length(text).alias("n")]
+    judged = _judged(docs.select("lang", "text", *keys), **p)
+    gone = written(judged.filter("not __tl_keep").select("k", "xx", "n").distinct(), "gone")
+    return without(docs.select(row_of(docs), *keys), gone, ["k", "xx", "n"]).select("row.*")
 
 
 def rules_sql(table: str = "documents") -> str:
