@@ -37,6 +37,24 @@ def empty(spark):
     return frame(spark, [])
 
 
+def test_filters_keep_any_columns(spark):
+    """Columns named like the operators' own, with dots and back ticks."""
+    rng = random.Random(30)
+    names = ["ref_c", "ref_w", "__tl_id", "__tl_k", "__tl_lang", "__tl_c", "row", "at", "file", "key", "xx", "fp", "maybe", "sieve_word", "digest", "keeper_id", "tier", "a.b", "a`c"]
+    text = "The way of the man is in the house and it was for the day that we had. " * 8
+    rows = [(k, text + words(rng, 50) + str(k), "en", "a", *([k] * len(names))) for k in range(20)]
+    rows += [(20, rows[3][1], "en", "a", *([20] * len(names))), (21, rows[4][1] + " x", "en", "a", *([21] * len(names))), (22, "$$$ ### %%% @@@ *** " * 40, "en", "a", *([22] * len(names))), (None, None, None, None, *([None] * len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n.replace('`', '``')}` long" for n in names))
+    want = {row[0]: row for row in rows}
+    for fn, gone in ((quality_rules.quality_filter, {22}), (exact_dedup.dedup_filter, {20}), (near_dup.near_dup_filter, None), (lambda d: mixing.mix_filter(d, None, 1.0), None)):
+        kept = fn(docs)
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert all(r == want[r[0]] for r in got) and len(got) == len({r[0] for r in got})
+        if gone is not None:
+            assert set(want) - {r[0] for r in got} == gone
+
+
 # Packing
 
 
@@ -160,7 +178,7 @@ def test_dedup_by_bytes(odd, empty, bits):
 
 
 def test_dedup_state_goes_on(spark, tmp_path):
-    schema = "digest string, doc_id long, locator string"
+    schema = "digest string, doc_id long, locator string"  # any type will do for a locator
     from pyspark.sql.types import _parse_datatype_string
 
     add = lambda rows, k: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
@@ -400,6 +418,8 @@ def test_quality_guards(spark, odd, empty):
     docs = frame(spark, rows)
     kept = quality_rules.quality_filter(docs)
     assert kept.columns == docs.columns
+    given = quality_rules.references(docs.filter("doc_id < 40"))
+    assert [r.doc_id for r in quality_rules.judge(docs, given=given).collect() if not r.keep] == [90] and not any(r.keep is None for r in quality_rules.judge(docs, given=given.limit(0)).collect())
     assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 91, 92]
 
 

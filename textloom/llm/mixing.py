@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import maybe_broadcast, n_words, written
+from textloom.llm.common import maybe_broadcast, n_words, row_of, written
 
 SEED, FRACTIONS, SHARE = "mix-1", (0.25, 0.5, 1.0), 0.8
 BITS, LEVELS = 12, 5
@@ -85,6 +85,7 @@ def _edge(hist: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _with_tier(docs: DataFrame, weights, fractions, share, seed) -> DataFrame:
+    """row (all columns of docs) and tier, where there is one."""
     key = F.coalesce(F.col("source"), F.lit(_NULL))
     narrow = docs.select(key.alias("k"), doc_hash(F.col("doc_id"), seed).alias("h"), n_words(F.col("text")).alias("n"))
     limits = thresholds(narrow, weights, fractions, share)
@@ -95,9 +96,10 @@ def _with_tier(docs: DataFrame, weights, fractions, share, seed) -> DataFrame:
     by = maybe_broadcast(by, 64 + 32 * len(fractions))
     fits = F.filter("__tl_limits", lambda x: x["limit"].isNull() | (F.col("__tl_h") < x["limit"]))
     return (
-        docs.withColumn("__tl_k", key).withColumn("__tl_h", doc_hash(F.col("doc_id"), seed))
+        docs.select(row_of(docs), key.alias("__tl_k"), doc_hash(F.col("doc_id"), seed).alias("__tl_h"))
         .join(by, "__tl_k", "left")
-        .withColumn("__tl_tier", F.try_element_at(F.transform(fits, lambda x: x["f"]), F.lit(1)))
+        .withColumn("tier", F.try_element_at(F.transform(fits, lambda x: x["f"]), F.lit(1)))
+        .filter("tier is not null")
     )
 
 
@@ -109,12 +111,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, fractions:
     budgets as parts of that.
     """
     out = _with_tier(docs.select("doc_id", "source", "text"), weights, fractions, share, seed)
-    return out.filter("__tl_tier is not null").select("doc_id", "source", F.col("__tl_tier").alias("tier"))
+    return out.select("row.doc_id", "row.source", "tier")
 
 
 def mix_filter(docs: DataFrame, weights: Mapping[str, float] | None = None, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """The documents within the whole budget, with their columns."""
-    return _with_tier(docs, weights, [1.0], share, seed).filter("__tl_tier is not null").select(*[docs[c] for c in docs.columns])
+    return _with_tier(docs, weights, [1.0], share, seed).select("row.*")
 
 
 def mix_sql(fractions: Sequence[float] = FRACTIONS, share: float = SHARE, seed: str = SEED, table: str = "documents") -> str:
