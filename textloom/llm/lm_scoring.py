@@ -4,21 +4,21 @@ Texts are coded bit by bit. Predictors give the log-odds of the next bit: two
 learn from the text itself, by the last unit and by a hash of the last three;
 one has the whole corpus's counts after the last two, without those of the
 text itself; one follows a place of another document that has the same bytes
-just before. They are combined by weights; the
-bit's place in its unit and the state of the match choose the set of weights.
-Weights and tables learn from every bit. The result is refined by an
-adaptive logistic map. The score is the sum of the bits' code lengths, over
-the bytes of the text.
+just before. They are combined by weights, of which the bit's place in its
+unit and the state of the match choose a set.
+The result is refined by an adaptive logistic map. Weights, tables and map
+learn from every bit of the text, UNITS units at a time. The score is the sum
+of the bits' code lengths, over the bytes of the text.
 
 A unit has 5 bits: one for each of the 31 most usual bytes, and three for any
 other byte (a mark and its two halves). Many texts are coded side by side, a
-lane each, from their first unit to their last: numpy does the same bit of all
-of them at a time. Texts over LONG bytes are brought together by length first.
-The hashed table of a text has as many slots as the text has units, at least.
+lane each, from their first unit to their last: numpy does the same units of
+all of them at a time. The hashed table of a text has as many slots as the
+text has units, at least.
 
 What is gathered from the corpus: counts of units by the two before, of all
 documents, added up by tasks; and anchors, the places of texts where a hash of
-the last WINDOW bytes ends in zeros (one in 64, whatever the text around it).
+the last WINDOW bytes ends in zeros (one in 128, whatever the text around it).
 Each is sent with its document and the bytes up to the document's next anchor.
 Anchors that several documents have are joined: a document gets the bytes that
 follow in another one. Both grow with the corpus; nothing of it that grows is
@@ -33,7 +33,6 @@ an empty result.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 
@@ -48,8 +47,10 @@ from textloom.llm.shingles import power_sums
 #: The bytes of one unit each.
 USUAL = b" etaoinshrdlcumfpgwybvkxjqz\n.,-"
 RARE, PLACES = 31, 5
-WINDOW, ANCHOR = 24, 64
-LONG, HELD, LANES, BLOCK = 8 << 10, 12 << 20, 4096, 1 << 15
+WINDOW, ANCHOR = 24, 128
+HELD, LANES = 4 << 20, 1024
+#: Units after which weights, tables and map learn what they have seen.
+UNITS = 32
 COUNT_PARTS, SLICES = 32, 64
 #: Rates of the weights, of the two tables by order, and of the map.
 RATE, TABLE_RATES, MAP_RATE = 0.02, (0.35, 1.1), 0.005
@@ -255,6 +256,14 @@ class Texts:
         return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    y = np.negative(x)
+    with np.errstate(over="ignore"):  # 1 / inf is 0
+        np.exp(y, out=y)
+    y += np.float32(1)
+    return np.reciprocal(y, out=y)
+
+
 def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
     """Bits of texts, a lane each; own: their numbers, by falling length."""
     f = np.float32
@@ -270,96 +279,76 @@ def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
     states, n_in = (4, 4) if matched else (1, 3)
     w = np.empty((PLACES, states, n_in, lanes), f)
     w[:] = np.array(FIRST_WEIGHTS[:n_in], f)[:, None]
-    flat = w.reshape(PLACES, -1)
     slope, shift = np.ones((PLACES, lanes), f), np.zeros((PLACES, lanes), f)
-    rates = np.array(TABLE_RATES, f)[:, None]
+    rates = np.array(TABLE_RATES, f)[:, None, None, None]
     trust = np.array(TRUST, f)
-    one, least, within, rate, map_rate = f(1), f(LEAST), f(1 - 2 * LEAST), f(RATE), f(MAP_RATE)
     bits = np.zeros(lanes)
-    active = np.searchsorted(-lens, -np.arange(int(lens[0]) if lanes else 0), side="left").tolist()
-    at = 0
-    while at < len(active):
-        a = active[at]
-        block = min(len(active) - at, max(8, BLOCK // a))
-        while active[at + block - 1] < a - a // 8:  # most lanes last to the block's end
-            block = (block + 1) // 2
-        idx = np.minimum(start[:a] + at + np.arange(block)[:, None], (start + lens - 1)[:a])
+    longest = int(lens[0]) if lanes else 0
+    active = np.searchsorted(-lens, -np.arange(0, longest, UNITS), side="left").tolist()
+    for at, a in zip(range(0, longest, UNITS), active):
+        place = at + np.arange(min(UNITS, longest - at))[:, None]
+        here = place < lens[:a]
+        idx = start[:a] + np.minimum(place, lens[:a] - 1)
+        shape = (len(place), PLACES, a)
         u = t.u[idx]
         back = [t.u[np.maximum(idx - d, start[:a])] for d in (1, 2, 3)]
         for d in range(1, 4):
             back[d - 1][: max(0, d - at)] = 0  # nothing is known from before a text
         first = lane[:a] * 1024 + (back[0].astype(np.int64) << 5)
         hashed = ((back[2].astype(np.uint32) << 10) | (back[1].astype(np.uint32) << 5) | back[0]) * np.uint32(0x9E3779B1)
-        cell, given, bit_of = np.empty((block, PLACES, 2, a), np.int64), np.empty((block, PLACES, n_in - 2, a), f), np.empty((block, PLACES, a), f)
+        cell, st, bit = np.empty((2, *shape), np.int64), np.empty((n_in, *shape), f), np.empty(shape, f)
         if matched:
-            guess, state, gate = t.guess[idx], t.state[idx], np.empty((block, PLACES, n_in, a), np.int64)
+            guess, state, held = t.guess[idx], t.state[idx], np.empty(shape, np.uint8)
         for j in range(PLACES):
             node = (1 << j) | (u >> (PLACES - j)).astype(np.uint32)
-            np.add(first, node, out=cell[:, j, 0], casting="unsafe")
+            np.add(first, node, out=cell[0, :, j], casting="unsafe")
             x = hashed + node * _NODE_MULT
             x ^= x >> np.uint32(15)
             x *= _HASH_MULT
             x ^= x >> np.uint32(13)
             x &= mask[:a]
-            np.add(low[:a], x, out=cell[:, j, 1], casting="unsafe")
-            np.multiply(t.known[j][idx], f(SCALE), out=given[:, j, 0], casting="unsafe")
-            bit_of[:, j] = (u >> (PLACES - 1 - j)) & 1
+            np.add(low[:a], x, out=cell[1, :, j], casting="unsafe")
+            np.multiply(t.known[j][idx], f(SCALE), out=st[2, :, j], casting="unsafe")
+            bit[:, j] = (u >> (PLACES - 1 - j)) & 1
             if matched:
                 s = np.where(guess >> (PLACES - j) == u >> (PLACES - j), state, 0)
-                np.multiply(trust[s], ((guess >> (PLACES - 1 - j)) & 1) * f(2) - f(1), out=given[:, j, 1])
-                np.add((s.astype(np.int64) * (n_in * lanes) + lane[:a])[:, None], (np.arange(n_in) * lanes)[:, None], out=gate[:, j])
-        # Lanes that end within the block go on with it, but don't count any more.
-        here = np.arange(block)[:, None] + at < lens[:a]
-        chosen, mul = np.empty((n_in, a), f), np.empty((n_in, a), f)
-        logit, p = np.empty((4, a), f), np.empty((4, a), f)
-        tmp, err, prod = (np.empty(a, f) for _ in range(3))
-        o, dot, z_in, p_mix, z, p_own = logit[2:], logit[0], logit[1], p[0], p[1], p[2:]
-        own_mul, given_mul = mul[:2], mul[2:]
-        for k in range(block):
-            prod[:] = 1
-            for j in range(PLACES):
-                c, more, bit = cell[k, j], given[k, j], bit_of[k, j]
-                table.take(c, out=o, mode="clip")
-                # The set of weights: by place and by state of the match.
-                if matched:
-                    g = gate[k, j]
-                    wv = flat[j].take(g, out=chosen, mode="clip")
-                else:
-                    wv = w[j, 0, :, :a]
-                np.multiply(o, wv[:2], out=own_mul)
-                np.multiply(more, wv[2:], out=given_mul)
-                np.add.reduce(mul, axis=0, out=dot)
-                # The refined prediction: a logistic map of the mixed one.
-                sl, sh = slope[j, :a], shift[j, :a]
-                np.multiply(dot, sl, out=z_in)
-                z_in += sh
-                np.negative(logit, out=p)
-                np.exp(p, out=p)
-                p += one
-                np.reciprocal(p, out=p)
-                z *= within
-                z += least
-                np.subtract(bit, p, out=p)  # what each prediction is wrong by
-                np.abs(z, out=tmp)
-                np.subtract(one, tmp, out=tmp)
-                prod *= tmp
-                # Learning.
-                z *= map_rate
-                sh += z
-                z *= dot
-                sl += z
-                np.multiply(p_mix, rate, out=err)
-                np.multiply(o, err, out=own_mul)
-                np.multiply(more, err, out=given_mul)
-                wv += mul
-                if matched:
-                    flat[j][g] = wv
-                p_own *= rates
-                o += p_own
-                table[c] = o
-            np.log2(prod, out=prod)
-            bits[:a] -= np.where(here[k], prod, 0)
-        at += block
+                np.multiply(trust[s], ((guess >> (PLACES - 1 - j)) & 1) * f(2) - f(1), out=st[3, :, j])
+                held[:, j] = s
+        table.take(cell, out=st[:2], mode="clip")
+        # The set of weights: by place and by state of the match.
+        dot, part, sets = np.zeros(shape, f), np.empty(shape, f), []
+        for s in range(states):
+            in_set = (held == s).astype(f) if matched else None
+            if matched and not in_set.any():
+                continue
+            sets.append((s, in_set))
+            mixed = st[0] * w[:, s, 0, :a]
+            for i in range(1, n_in):
+                mixed += np.multiply(st[i], w[:, s, i, :a], out=part)
+            dot += mixed if in_set is None else np.multiply(mixed, in_set, out=mixed)
+        # The refined prediction: a logistic map of the mixed one.
+        z = _sigmoid(dot * slope[:, :a] + shift[:, :a])
+        z *= f(1 - 2 * LEAST)
+        z += f(LEAST)
+        wrong = bit - z
+        cost = np.log2(f(1) - np.abs(wrong))
+        bits[:a] -= (cost.sum(axis=1) * here).sum(axis=0)
+        # Learning, from all bits of these units at once.
+        some = here[:, None]
+        wrong *= some
+        shift[:, :a] += f(MAP_RATE) * wrong.sum(axis=0)
+        slope[:, :a] += f(MAP_RATE) * np.multiply(wrong, dot, out=wrong).sum(axis=0)
+        err = (bit - _sigmoid(dot)) * some
+        err *= f(RATE)
+        for s, in_set in sets:
+            own_err = err if in_set is None else err * in_set
+            for i in range(n_in):
+                w[:, s, i, :a] += np.multiply(st[i], own_err, out=part).sum(axis=0)
+        own_err = _sigmoid(st[:2])
+        np.subtract(bit, own_err, out=own_err)
+        own_err *= rates
+        own_err *= some
+        np.add.at(table, cell.ravel(), own_err.ravel())
     return bits
 
 
@@ -409,12 +398,5 @@ def score(docs: DataFrame) -> DataFrame:
             yield done()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
-    rows = partly_joined(rows, followers(rows.select("doc", "text")), ["doc"]).select("doc_id", "text", "found")
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    out = "doc_id long, bits double, bits_per_byte double"
-    long_bytes = docs.select("text").filter(size > LONG).agg(F.sum(size.cast("long"))).first()[0]
-    scored = rows.filter(size <= LONG).mapInArrow(run, out)
-    if long_bytes:
-        together = rows.filter(size > LONG).repartitionByRange(math.ceil(long_bytes / HELD), F.desc(F.octet_length("text"))).sortWithinPartitions(F.desc(F.octet_length("text")))
-        scored = together.mapInArrow(run, out).unionByName(scored)
-    return scored
+    rows = partly_joined(rows, followers(rows.select("doc", "text")), ["doc"])
+    return rows.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, bits double, bits_per_byte double")
