@@ -11,7 +11,9 @@ of every page, and the rest is the page's text.
 
 The merged trees are aggregates (a row for each node and style or content);
 no host's pages are brought together, so a host with most of the pages is no
-hot spot.
+hot spot. Of a host's noise only the tops of the branches are kept; where they
+are too many to be broadcast, pages are joined with them by host, a join in
+which Spark splits hosts of many pages.
 
 Defined results: one row for each row of pages. A host is the URL's, in lower
 case, without user and port. Pages without a host, and hosts of fewer than
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import maybe_broadcast, written
+from textloom.llm.common import maybe_broadcast, split_possible, written
 
 THRESHOLD, GAMMA, MIN_PAGES = 0.3, 0.9, 3
 
@@ -180,14 +182,14 @@ def importances(rows: pd.DataFrame, gamma: float) -> tuple[dict[int, float], dic
 
 
 def noisy(importance: dict[int, float], parent: dict[int, int], threshold: float) -> set[int]:
-    """Places under the threshold with all that is below them."""
+    """Places under the threshold with all that is below them; only the topmost, at which a page's branches are cut."""
     alive = set()
     for place, x in importance.items():
         if x >= threshold:
             while place in importance and place not in alive:
                 alive.add(place)
                 place = parent[place]
-    return {p for p in importance if p not in alive}
+    return {p for p in importance if p not in alive and (parent[p] in alive or parent[p] not in importance)}
 
 
 def text_of(root: Node, noise: set[int] | frozenset[int]) -> str:
@@ -279,9 +281,10 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA
     """page_id, host, text: one row for each page."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
     known = src.filter("host is not null and html is not null").withColumn("xx", F.xxhash64("html"))
-    # Of copies the one with the smallest id counts.
-    first = written(known.groupBy("host", "xx").agg(F.min("page_id").alias("page_id")), "first")
-    counted = known.join(maybe_broadcast(first, 64), ["host", "xx", "page_id"], "left_semi").select("host", "html")
+    # Of copies one counts; only pages that may have some are shuffled.
+    repeated = written(known.groupBy("host", "xx").count().filter("count > 1").select("host", "xx"), "repeated")
+    again, alone = split_possible(known.select("host", "xx", "html"), repeated, ["host", "xx"])
+    counted = alone.select("host", "html").unionByName(again.groupBy("host", "xx").agg(F.any_value("html").alias("html")).select("host", "html"))
     facts = counted.mapInArrow(_collect, "host string, place long, kind long, key long, parent long, above long, depth long, n long")
     facts = facts.groupBy("host", "place", "kind", "key", "parent", "above", "depth").agg(F.sum("n").alias("n"))
     # Contents come down to what their entropy needs.
