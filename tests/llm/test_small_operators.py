@@ -489,7 +489,12 @@ def scalar_bits(text, found, others):
     w = np.array([[list(lm_scoring.FIRST_WEIGHTS)] * 4] * 5, f)
     slope, shift = np.ones(5, f), np.zeros(5, f)
     total, sig = 0.0, lambda x: 1 / (1 + np.exp(-x))
+    steps = []
     for i, (u, place) in enumerate(us):
+        if i % lm_scoring.UNITS == 0:  # what was learned counts from here
+            for where, at, step in steps:
+                where[at] += step
+            steps = []
         p1, p2, p3 = (us[i - d][0] if i >= d else 0 for d in (1, 2, 3))
         expected, s = None, state.get(place, 0)
         if s:
@@ -515,11 +520,8 @@ def scalar_bits(text, found, others):
             z = z * (1 - 2 * lm_scoring.LEAST) + lm_scoring.LEAST
             total -= np.log2(z if bit else 1 - z)
             step = lm_scoring.MAP_RATE * (bit - z)
-            shift[j] += step
-            slope[j] += step * dot
-            low[c1] += lm_scoring.TABLE_RATES[0] * (bit - sig(low[c1]))
-            high[c3] += lm_scoring.TABLE_RATES[1] * (bit - sig(high[c3]))
-            w[j, here] += st * f(lm_scoring.RATE * (bit - p))
+            steps += [(shift, j, step), (slope, j, step * dot), (w, (j, here), st * f(lm_scoring.RATE * (bit - p)))]
+            steps += [(low, c1, lm_scoring.TABLE_RATES[0] * (bit - sig(low[c1]))), (high, c3, lm_scoring.TABLE_RATES[1] * (bit - sig(high[c3])))]
     return total
 
 
@@ -530,9 +532,10 @@ def node_counts_of(texts):
     return lm_scoring.node_counts(np.bincount(v[0] * 1024 + v[1] * 32 + u, minlength=1 << 15))
 
 
-@pytest.mark.parametrize("block,lanes", [(1 << 15, 2048), (30, 3)])
-def test_scores_are_the_scalar_coder(monkeypatch, block, lanes):
-    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+@pytest.mark.parametrize("units,lanes", [(32, 2048), (1, 3)])
+def test_scores_are_the_scalar_coder(monkeypatch, units, lanes):
+    monkeypatch.setattr(lm_scoring, "UNITS", units)
+    monkeypatch.setattr(lm_scoring, "ANCHOR", 32)
     monkeypatch.setattr(lm_scoring, "LANES", lanes)
     rng = random.Random(6)
     texts = [words(rng, n) + rng.choice(["", "é ñ\x7f"]) for n in (1, 3, 10, 40, 20, 7, 900)] + ["", "a"]
@@ -582,7 +585,6 @@ def test_texts_of_all_lengths_are_scored_once(spark, monkeypatch):
     rows = [(k, words(rng, rng.choice([1, 50, 300, 700]))) for k in range(30)] + [(30, None), (31, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = {r.doc_id: r.bits for r in lm_scoring.score(df).collect()}
-    monkeypatch.setattr(lm_scoring, "LONG", 500)
     monkeypatch.setattr(lm_scoring, "HELD", 4000)
     split = {r.doc_id: r.bits for r in lm_scoring.score(df.repartition(5)).collect()}
     assert len(split) == len(rows) and all(abs(split[k] - v) < 1e-2 + 1e-3 * v for k, v in whole.items())
@@ -662,6 +664,94 @@ def page(k, rng):
     return f"<html><body><div class='nav'><a href=/>Home</a><a href=/x>About us</a></div><article><h1>T{k} {words(rng, 3)}</h1><p>{words(rng, 30)}</p></article><div class=foot>All rights reserved</div></body></html>"
 
 
+def plain_texts(pages, threshold, gamma, least):
+    """Extraction over nested dictionaries of a host's pages, by recursion; pages: parsed trees, each different."""
+    if len(pages) < least:
+        return [site_tree.text_of(p, frozenset()) for p in pages]
+
+    def kids(node):
+        """The node's style and its children with their number in it."""
+        runs, out = [], []
+        for k in node.kids:
+            if not runs or runs[-1] != k.label:
+                runs.append(k.label)
+            out.append((len(runs) - 1, k))
+        return tuple(runs), out
+
+    merged = {}  # path: pages, styles with their pages, contents with their pages
+
+    def walk(node, path, page):
+        m = merged.setdefault(path, {"pages": set(), "styles": defaultdict(set), "contents": defaultdict(set)})
+        m["pages"].add(page)
+        if not node.kids:
+            m["contents"][node.text or node.label].add(page)
+            return
+        style, own = kids(node)
+        m["styles"][style].add(page)
+        for i, k in own:
+            walk(k, (*path, (style, i, k.label)), page)
+
+    for n, p in enumerate(pages):
+        walk(p, (), n)
+
+    def entropy(sizes, m):
+        total = sum(sizes)
+        return 1.0 if m <= 1 else -sum(s / total * math.log(s / total) for s in sizes) / math.log(m)
+
+    def importance(path):
+        m = merged[path]
+        many, parts = len(m["pages"]), []
+        if m["styles"]:
+            sizes = {s: len(x) for s, x in m["styles"].items()}
+            total, node = sum(sizes.values()), min(1.0, entropy(sizes.values(), many))
+            lower = 0.0
+            for s, n in sizes.items():
+                below = [importance(p) for p in merged if len(p) == len(path) + 1 and p[:-1] == path and p[-1][0] == s]
+                lower += n / total * (sum(below) / len(below) if below else node)
+            share = gamma ** len(sizes)
+            parts.append((total, (1 - share) * node + share * lower))
+        if m["contents"]:
+            sizes = [len(x) for x in m["contents"].values()]
+            # 1 less the mean of log n over the contents, against the log of the pages.
+            own = 1.0 if many <= 1 else 1 - sum(math.log(s) for s in sizes) / len(sizes) / math.log(many)
+            parts.append((max(1.0, many - sum(len(x) for x in m["styles"].values())), own))
+        return sum(w * x for w, x in parts) / sum(w for w, _ in parts)
+
+    good = {p for p in merged if importance(p) >= threshold}
+    alive = {p[:k] for p in good for k in range(len(p) + 1)}
+
+    def cut(node, path):
+        out = site_tree.Node(node.label, node.text)
+        style, own = kids(node)
+        out.kids = [cut(k, (*path, (style, i, k.label))) for i, k in own if (*path, (style, i, k.label)) in alive]
+        return out
+
+    return [site_tree.text_of(cut(p, ()), frozenset()) if () in alive else "" for p in pages]
+
+
+def test_extraction_is_a_plain_tree(spark):
+    rng = random.Random(40)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["Home", "About", words(rng, 3), words(rng, 8), "<br>", ""])
+        tag = rng.choice(["div", "p", "ul", "span class=x", "section"])
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(rng.randrange(4))) + f"</{tag.split()[0]}>"
+
+    shared = [part(3) for _ in range(4)]
+    pages = [(k, f"http://h{k % 3}.org/{k}", "<body>" + "".join(rng.choice([part(3), *shared]) if rng.random() < 0.5 else shared[q] for q in range(4)) + f"<p>{words(rng, 12)}</p>" * rng.randrange(2) + "<footer>end</footer></body>") for k in range(40)]
+    pages.append((99, "http://h0.org/deep", "<div>" * 300 + "deep" + "</div>" * 300))
+    df = spark.createDataFrame(pages + pages[:5], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    for h in range(3):
+        own = {}
+        for k, url, x in pages:
+            if url.startswith(f"http://h{h}."):
+                own.setdefault(x, []).append(k)
+        for (x, ids), text in zip(own.items(), plain_texts([site_tree.parse(x) for x in own], site_tree.THRESHOLD, site_tree.GAMMA, site_tree.MIN_PAGES)):
+            assert all(got[k] == text for k in ids), (x, text, [got[k] for k in ids])
+
+
 def test_site_tree_cuts_boilerplate(spark):
     rng = random.Random(7)
     rows = [(k, f"http://User@A.example.com:80/{k}", page(k, rng), "c") for k in range(20)] + [(50, "http://b.example.com/1", page(50, rng), "c"), (51, None, page(51, rng), "c"), (52, "http://b.example.com/2", None, "c"), (53, "http://c.example.com/", "", "c")]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,40 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Estimated bytes of a side up to which it's broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 48 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it's unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """A broadcast hint if a count of df (cheap: df is a written table) shows that it's small."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+from textloom.storage import fresh_path, if_small as maybe_broadcast, shared_dir, written  # noqa: F401
 
 
 def quoted(name: str) -> str:
@@ -79,6 +44,12 @@ def possible(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return _sieved(df, keys, on).filter("maybe").drop("maybe")
 
 
+def split_possible(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that the sieve of keys (a written table) lets pass, and the others."""
+    j = _sieved(df, keys, on)
+    return j.filter("maybe").drop("maybe"), j.filter("not maybe").drop("maybe")
+
+
 def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The inner join of df with keys (a written table): only rows that the sieve lets pass are shuffled."""
     return possible(df, keys, on).join(keys, on)

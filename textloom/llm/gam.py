@@ -15,7 +15,8 @@ the smallest md5 of their ids; the bound is a parameter and documented in the
 README. Scoring is over all documents.
 
 Defined results: null texts count as empty. Null labels, and labels with a
-null id, aren't used; of repeated labels of an id the greatest counts.
+null id, aren't used; of repeated labels of an id the greatest counts, of
+several texts of an id the smallest is fitted.
 Repeated rows give repeated scores. Without labels of both kinds a head gives
 the share of 1s (0.5 without labels; 0 for toxicity), whatever the text.
 Documents are kept if quality is at least MIN_QUALITY and toxicity under
@@ -204,8 +205,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
     """text, quality and toxic of the labelled documents that the model is fitted on; a written table."""
     own = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     own = own.filter("quality is not null or toxic is not null").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_labels)
-    # The sample has a fixed bound, so it can always be broadcast.
-    return written(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "quality", "toxic"), "labelled")
+    # The sample has a fixed bound, so it can always be broadcast. Of several texts of an id the smallest counts.
+    found = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    return written(found.select("text", "quality", "toxic"), "labelled")
 
 
 def toxic_words(sample: DataFrame, least: int = LEXICON_DF) -> frozenset[str]:
