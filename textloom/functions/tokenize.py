@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split() has it.
 SPACE = r"\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A run without it: Unicode's white space and four control characters; an intersection is much faster than a list of ranges.
+WORD = r"(?U)[\S&&[^\x1c-\x1f]]+"
 
 Tokenizer = Callable[[Column], Column]
 
 
 def whitespace(text: Column) -> Column:
     """Runs without white space."""
-    # Unicode's white space, and four control characters; an intersection is much faster than a list of ranges.
-    return F.regexp_extract_all(text, F.lit(r"(?U)[\S&&[^\x1c-\x1f]]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def separated(sep: str) -> Tokenizer:

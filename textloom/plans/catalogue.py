@@ -14,7 +14,7 @@ from textloom.operators import batching, dataset, experiment, features, tree, ve
 from textloom.operators import vocab as V
 from textloom.operators.dataset import Dataset
 from textloom.sources import files, records
-from textloom.storage import fresh_path, written
+from textloom.storage import fresh_path, spread, written
 from textloom.streaming import vocab_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def joined(ids) -> F.Column:
@@ -236,13 +236,14 @@ def vocab_shared_fields(spark, d):
     return shared.table.select("idx", "token", "freq")
 
 
-@query(f"""WITH {LOW}, tk AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS part FROM low JOIN documents USING (doc_id) WHERE lang IN ('en', 'de')),
+@query(f"""WITH {LOW}, tk AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS part FROM low JOIN documents USING (doc_id)),
 a AS (SELECT token, part, count(*) AS freq, min(doc_id * 16777216 + pos) AS first FROM tk GROUP BY ALL),
 m AS (SELECT token, sum(freq) AS freq, min(part) AS part, arg_min(first, part) AS first FROM a GROUP BY token)
 SELECT CAST(row_number() OVER (ORDER BY freq DESC, part, first) + 1 AS BIGINT) AS idx, token, CAST(freq AS BIGINT) AS freq FROM m""")
 def vocab_merge(spark, d):
     t = docs(spark, d).select("doc_id", "lang", tokenize.whitespace(F.lower("text")).alias("tokens"))
-    a, b = (V.Vocab().update(t.filter(F.col("lang") == x), "tokens", "doc_id") for x in ("en", "de"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    a, b = (V.Vocab().update(t.filter(x), "tokens", "doc_id") for x in (english, ~english))
     return (a + b).finalize().table.filter("special is null").select("idx", "token", "freq")
 
 
@@ -392,7 +393,7 @@ LEN = f"{LOW}, l AS (SELECT doc_id, len(t) AS n FROM low)"
 
 
 def lengths(spark, d) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(f"[^{tokenize.SPACE}]+")).cast("long").alias("n"))
+    return docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(tokenize.WORD)).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, CAST((p - 1) // 32 AS BIGINT) AS batch_id, CAST((p - 1) % 32 AS BIGINT) AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents)")

@@ -39,3 +39,13 @@ def if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFram
     """A broadcast hint if df is counted (df should be a written table, or rows be known) and found small."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small input over all cores: read files of few row groups give few tasks work, whatever their splits.
+
+    Only an input whose estimated size leaves less than a usual partition for each core is shuffled, by keys.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * (128 << 20) and len(df.inputFiles()) < cores else df
