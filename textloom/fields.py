@@ -230,17 +230,19 @@ class Schema:
     def finalize(self, *tables: DataFrame, row_id: str) -> Schema:
         """Count and finalize all vocabularies that aren't yet. Tables are of this schema's input columns.
 
-        Fields that share a Vocab are counted together, in one pass.
+        Fields that share a Vocab are counted together; all are counted in one pass over each table.
         """
         open_vocabs: dict[int, tuple[V.Vocab, list[Field]]] = {}
         for f in self.all():
             if isinstance(f.vocab, V.Vocab) and not f.vocab.is_finalized:
                 open_vocabs.setdefault(id(f.vocab), (f.vocab, []))[1].append(f)
-        for df in tables:
+        for df in tables if open_vocabs else ():
             plain = self._columns(df, row_id, lambda f, c: [f.compile_uncounted(c)])
-            for v, fs in open_vocabs.values():
-                lists = [F.when(F.col(f.name).isNotNull(), F.col(f.name) if plain.schema[f.name].dataType.typeName() == "array" else F.array(F.col(f.name).cast("string"))).alias(f.name) for f in fs]
-                v.update(plain.select(row_id, *lists), [f.name for f in fs], row_id)
+            of = {f.name: F.when(F.col(f.name).isNotNull(), F.col(f.name) if plain.schema[f.name].dataType.typeName() == "array" else F.array(F.col(f.name).cast("string"))) for _, fs in open_vocabs.values() for f in fs}
+            lists = plain.select(row_id, *(c.alias(name) for name, c in of.items()))
+            found = V.counts_of_several(lists, [[f.name for f in fs] for _, fs in open_vocabs.values()], row_id)
+            for (v, _), own in zip(open_vocabs.values(), found):
+                v.add_counts(own)
         for v, _ in open_vocabs.values():
             v.finalize()
         return self

@@ -160,3 +160,18 @@ def hierarchical(contexts: DataFrame, batch_size: int = 32, longest: int | None
     ctx = F.col("context") if longest is None else last_of(F.col("context"), longest)
     rows = contexts.select("node_id", F.concat(ctx, F.array("node_id")).alias("rows"))
     return assign(rows, "node_id", batch_size, seed).join(rows, "node_id").select("batch_id", "pos", "node_id", "rows")
+
+
+def hierarchical_matrices(contexts: DataFrame, ids: DataFrame, of: Field, name: str | None = None, batch_size: int = 32, longest: int | None = None, seed: int | None = None) -> DataFrame:
+    """batch_id, pos, node_id and a matrix for each node: the padded numbers of its context's rows and its own, in order.
+
+    ids: node_id and the field's numbers. Within a node's matrix all rows have the length of its longest, or fixed_length.
+    """
+    name = name or f"{of.name}_ids"
+    rows = hierarchical(contexts, batch_size, longest, seed)
+    flat = rows.select("batch_id", "pos", F.col("node_id").alias("__n"), F.posexplode("rows").alias("__at", "node_id")).join(ids.select("node_id", name), "node_id")
+    lists = flat.groupBy("batch_id", "pos", F.col("__n").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", name))), lambda x: x[name]).alias("__l"))
+    width = F.lit(of.fixed_length) if of.fixed_length else F.coalesce(F.array_max(F.transform("__l", lambda x: F.coalesce(F.size(x), F.lit(0)))), F.lit(0))
+    pad = of.pad_symbol
+    wide = lists.withColumn("__w", F.greatest(width, F.lit(1)))
+    return wide.select("batch_id", "pos", "node_id", F.transform("__l", lambda x: of.padded(x, F.col("__w"), pad=pad)).alias(of.name))

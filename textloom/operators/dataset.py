@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.fields import AnyField, Schema
+from textloom.fields import AnyField, Field, Schema
 from textloom.operators import vocab as V
 from textloom.operators.numbering import numbered, seeded_order
-from textloom.storage import if_small
+from textloom.storage import if_small, written
 
 
 def positions(df: DataFrame, *order: Column | str, row_id: str, name: str = "position") -> DataFrame:
@@ -96,6 +96,11 @@ def slice_rows(df: DataFrame, row_id: str, start: int | None = None, stop: int |
     return df.join(kept.select(row_id, "ord"), row_id)
 
 
+def unique(values: Iterable[str]) -> list[str]:
+    """Each value once, in the order of the first."""
+    return list(dict.fromkeys(values))
+
+
 def concat(tables: Sequence[tuple[DataFrame, Mapping[str, str]]] | Sequence[DataFrame], row_id: str | None = None) -> DataFrame:
     """The rows of all tables, on the columns that all have, in the first one's order; `src` is the table's place.
 
@@ -107,7 +112,7 @@ def concat(tables: Sequence[tuple[DataFrame, Mapping[str, str]]] | Sequence[Data
         frames.append(df.withColumnsRenamed(dict(names)) if names else df)
     if not frames:
         raise ValueError("there is nothing to concatenate")
-    common = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
+    common = unique(c for c in frames[0].columns if all(c in f.columns for f in frames))
     if not common:
         raise ValueError("the tables have no column in common")
     return reduce(DataFrame.unionAll, (f.select(F.lit(i).alias("src"), *common) for i, f in enumerate(frames)))
@@ -197,6 +202,22 @@ class Dataset:
         out = numbered(both, "src", self.row_id, name="__new").drop("src", self.row_id).withColumnRenamed("__new", self.row_id)
         return replace(self, df=out.select(self.row_id, *(c for c in common if c != self.row_id)), schema=Schema([f for f in self.schema.all() if f.name in common]))
 
+    def concat_with(self, others: Sequence[Dataset], overrides: Mapping[str, Field]) -> Dataset:
+        """On common fields, some of which get a field of their own: its vocabulary, if it isn't finalized, is counted over all rows."""
+        free = [replace(d, schema=Schema([f for f in d.schema.all() if f.name not in overrides])) for d in (self, *others)]
+        both = free[0].concat(*free[1:])
+        own = [f for f in overrides.values() if f.name in both.df.columns]
+        for f in own:
+            if isinstance(f.vocab, V.Vocab) and not f.vocab.is_finalized:
+                f.vocab.update(both.df, f.name, self.row_id).finalize()
+        names = [c for c in both.df.columns if c != self.row_id]
+        common = [f for f in self.schema.all() if f.name in names and f.name not in overrides]
+        return replace(both, schema=Schema([*common, *own]))
+
+    def materialized(self) -> DataFrame:
+        """The numbers of all fields, written once: later batches read them instead of making them again."""
+        return written(self.numericalized(), "numbers")
+
     def numericalized(self) -> DataFrame:
         df = self.df
         for f in self.schema.all():

@@ -90,6 +90,18 @@ class Experiment:
             fitted.append(done)
         return replace(self, fitted=(*fitted, self.estimator.fit(df)))
 
+    def partial_fit(self, df: DataFrame) -> Experiment:
+        """Go on from the fitted model's weights with more rows; transformers stay as they were fitted."""
+        if not self.fitted:
+            return self.fit(df)
+        if not self.estimator.hasParam("initialWeights"):
+            raise TypeError(f"{type(self.estimator).__name__} can't go on from earlier weights")
+        for t in self.fitted[:-1]:
+            df = t.transform(df)
+        own = self.estimator.copy()
+        own.set(own.getParam("initialWeights"), self.model.weights)
+        return replace(self, fitted=(*self.fitted[:-1], own.fit(df)))
+
     @property
     def model(self) -> Model:
         if not self.fitted:
@@ -114,6 +126,9 @@ class RawPipeline:
     def fit(self, raw: DataFrame) -> RawPipeline:
         return replace(self, experiment=self.experiment.fit(self.prepare(raw)))
 
+    def partial_fit(self, raw: DataFrame) -> RawPipeline:
+        return replace(self, experiment=self.experiment.partial_fit(self.prepare(raw)))
+
     def predict(self, raw: DataFrame) -> DataFrame:
         return self.experiment.predict(self.prepare(raw))
 
@@ -203,6 +218,13 @@ class MultilabelSVM:
         return df.withColumn("prediction", F.array(*(f"__p{i}" for i in range(len(self.models))))).drop(*(f"__p{i}" for i in range(len(self.models))))
 
 
+def train_multilabel(svm: MultilabelSVM, df: DataFrame, row_id: str, k: int = 3, seed: int | None = None) -> dict[str, float]:
+    """Means over outer folds of multilabel_metrics; each fold's parameters are found within its own training rows."""
+    tagged = df.join(folds(df, row_id, k, seed), row_id)
+    found = [multilabel_metrics(svm.fit(tagged.filter(F.col("fold") != i).drop("fold"), row_id).predict(tagged.filter(F.col("fold") == i)), svm.labels).first().asDict() for i in range(k)]
+    return {name: sum(f[name] for f in found) / k for name in found[0]}
+
+
 def multilabel_metrics(df: DataFrame, labels: str = "labels", prediction: str = "prediction") -> DataFrame:
     """One row: precision, recall and F over all labels (micro), and the means over labels (macro)."""
     x = df.select(F.posexplode(F.arrays_zip(F.col(labels).alias("y"), F.col(prediction).alias("p"))).alias("c", "x")).select("c", F.col("x.y").alias("y"), F.col("x.p").alias("p"))

@@ -161,8 +161,11 @@ class TfIdf:
 
 
 def to_vectors(rows: DataFrame, row_id: str, width: int, values: str = "values") -> DataFrame:
-    """row_id and features, a sparse vector for pyspark.ml (its type can only be made in Python)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    make = F.udf(lambda c, v: SparseVector(width, c, v), VectorUDT())
-    return rows.select(row_id, make("cols", values).alias("features"))
+    """row_id and features, a sparse vector for pyspark.ml: put together in the JVM as the struct that its type is, and read as that."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(width).alias("size"), F.col("cols").cast("array<int>").alias("indices"), F.col(values).cast("array<double>").alias("values"))
+    plain = written(rows.select(row_id, parts.alias("features")), "vectors")
+    kind = StructType([plain.schema[row_id], StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(kind).parquet(*plain.inputFiles()) if plain.inputFiles() else rows.sparkSession.createDataFrame([], kind)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.numbering import numbered
@@ -99,7 +99,33 @@ def context(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     return start.unionByName(below)
 
 
-def contexts(nodes: DataFrame, levels: int | None = None) -> DataFrame:
-    """node_id, context: the same as sorted arrays; empty for roots."""
-    found = context(nodes, levels).groupBy("node_id").agg(F.sort_array(F.collect_list("ctx_id")).alias("context"))
-    return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("context", F.array().cast("array<long>")).alias("context"))
+def contexts(nodes: DataFrame, levels: int | None = None, longest: int | None = None) -> DataFrame:
+    """node_id, context: the same as sorted arrays; empty for roots.
+
+    longest: only the last ones of each. A parent's last children before a node are found by its place among its
+    siblings, so a node of many children isn't joined with all pairs of them.
+    """
+    if longest is not None:
+        near = _nearest(nodes, levels, longest)
+    else:
+        near = context(nodes, levels)
+    found = near.groupBy("node_id").agg(F.sort_array(F.collect_list("ctx_id")).alias("context"))
+    rows = nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("context", F.array().cast("array<long>")).alias("context"))
+    return rows if longest is None else rows.withColumn("context", F.slice("context", F.greatest(F.size("context") - longest + 1, F.lit(1)), longest))
+
+
+def _nearest(nodes: DataFrame, levels: int | None, longest: int) -> DataFrame:
+    """node_id, ctx_id as of context, but of each parent on the way only its last `longest` children so far."""
+    path = F.col("path") if levels is None else F.slice("path", F.greatest(F.size("path") - levels, F.lit(1)), levels + 1)
+    near = nodes.filter(F.size("path") > 0).select("node_id", path.alias("up"))
+    start = near.select("node_id", F.element_at("up", 1).alias("ctx_id"))
+    kids = nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("__p"))
+    # Each child with those before it: a frame of fixed length.
+    frame = Window.partitionBy("__p").orderBy("node_id").rowsBetween(-longest, -1)
+    earlier = kids.withColumn("__before", F.collect_list("node_id").over(frame)).select(F.col("node_id").alias("__kid"), "__p", "__before")
+    # On the way from the top to a node: of each parent the child that leads on, and the node itself at the end.
+    steps = near.select("node_id", F.posexplode("up").alias("__at", "__p"), F.slice(F.concat("up", F.array("node_id")), 2, F.size("up")).alias("__kids"))
+    steps = steps.select("node_id", "__p", F.element_at("__kids", F.col("__at") + 1).alias("__kid"))
+    leads = steps.filter(F.col("__kid") < F.col("node_id")).select("node_id", F.col("__kid").alias("ctx_id"))
+    before = steps.join(earlier, ["__p", "__kid"]).select("node_id", F.explode("__before").alias("ctx_id"))
+    return start.unionByName(leads).unionByName(before)

@@ -72,6 +72,12 @@ class VocabSpec:
 _PLACES = 24
 
 
+def _place() -> Column:
+    """Where a token is, of r and pos."""
+    fits = F.col("r").between(0, (1 << (63 - _PLACES)) - 1) & (F.col("pos") < (1 << _PLACES))
+    return F.when(fits, F.shiftleft("r", _PLACES) + F.col("pos")).otherwise(F.raise_error(F.lit("a row id or place is too large for first_seen; number the rows")).cast("long"))
+
+
 def counts(df: DataFrame, tokens: Sequence[str] | str, row_id: str) -> DataFrame:
     """token, freq, first: how often tokens of one or more columns come and where first, in one pass over df.
 
@@ -81,9 +87,24 @@ def counts(df: DataFrame, tokens: Sequence[str] | str, row_id: str) -> DataFrame
     columns = [tokens] if isinstance(tokens, str) else list(tokens)
     values = F.concat(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns)) if len(columns) > 1 else F.col(columns[0])
     t = df.select(F.col(row_id).cast("long").alias("r"), F.posexplode(values).alias("pos", "token")).filter("token is not null")
-    fits = F.col("r").between(0, (1 << (63 - _PLACES)) - 1) & (F.col("pos") < (1 << _PLACES))
-    place = F.when(fits, F.shiftleft("r", _PLACES) + F.col("pos")).otherwise(F.raise_error(F.lit("a row id or place is too large for first_seen; number the rows")).cast("long"))
-    return t.groupBy("token").agg(F.count("*").alias("freq"), F.min(place).alias("first"))
+    return t.groupBy("token").agg(F.count("*").alias("freq"), F.min(_place()).alias("first"))
+
+
+def _tagged(k: int):
+    return lambda t, i: F.struct(F.lit(k).alias("vocab"), i.alias("pos"), t.alias("token"))
+
+
+def counts_of_several(df: DataFrame, columns: Sequence[Sequence[str]], row_id: str) -> list[DataFrame]:
+    """The counts of several vocabularies, each of one or more columns, in one pass over df."""
+    if len(columns) == 1:
+        return [counts(df, columns[0], row_id)]
+    tagged = []
+    for k, own in enumerate(columns):
+        values = F.concat(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in own))
+        tagged.append(F.transform(values, _tagged(k)))
+    t = df.select(F.col(row_id).cast("long").alias("r"), F.inline(F.concat(*tagged))).filter("token is not null")
+    all_counts = written(t.groupBy("vocab", "token").agg(F.count("*").alias("freq"), F.min(_place()).alias("first")), "counts")
+    return [all_counts.filter(F.col("vocab") == k).select("token", "freq", "first") for k in range(len(columns))]
 
 
 def finalize(freqs: DataFrame, spec: VocabSpec = VocabSpec()) -> DataFrame:
@@ -177,6 +198,9 @@ def same(a: DataFrame, b: DataFrame) -> bool:
 
 # Numericalizing
 
+#: Words of a vocabulary that is too large to be broadcast, which are: it is in the order of their frequency.
+HOT_WORDS = 1 << 16
+
 
 def _bytes(vocab: DataFrame) -> int:
     return vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0))).first()[0]
@@ -195,7 +219,10 @@ def numericalize(df: DataFrame, tokens: str, vocab: DataFrame, row_id: str, out:
     words = vocab.filter("special is null").select(F.col("token").alias("__t"), F.col("idx").alias("__i"))
     n = F.size(tokens)
     heads, tails = [s for s in specials if s.place == "first"], [s for s in specials if s.place == "last"]
-    flat = df.select(row_id, n.alias("__n"), F.posexplode(tokens).alias("__p", "__t")).join(words, "__t", "left")
+    # The most frequent words are broadcast, so that no task gets all of one; the others are joined.
+    hot = if_small(written(words.filter(F.col("__i") < HOT_WORDS), "hot"), 64)
+    flat = df.select(row_id, n.alias("__n"), F.posexplode(tokens).alias("__p", "__t")).join(hot, "__t", "left")
+    flat = flat.filter("__i is not null").unionByName(flat.filter("__i is null").drop("__i").join(words, "__t", "left"))
     idx = F.coalesce("__i", F.lit(unk))
     for k, s in enumerate(reversed(heads)):
         idx = F.when(F.col("__p") == k, F.lit(index_of(vocab, s))).otherwise(idx)
@@ -285,6 +312,13 @@ class Vocab:
         self._parts.append(counts(df, tokens, row_id))
         return self
 
+    def add_counts(self, freqs: DataFrame) -> Vocab:
+        """What counts has made of a table."""
+        if self._table is not None:
+            raise RuntimeError("the vocabulary is finalized")
+        self._parts.append(freqs)
+        return self
+
     def __add__(self, other: Vocab) -> Vocab:
         """Counts of both; of two finalized vocabularies, those they were made from."""
         out = Vocab(self.spec.merged(other.spec))

@@ -596,8 +596,127 @@ def cache_roundtrip(spark, d):
     return files.read_cache(spark, path)[0]
 
 
-# Vectors and features
+# Files: written from the driver's tables, and read again
+
+
+def _folder(spark, name: str) -> str:
+    return fresh_path(spark, name)
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier")
+def read_csv(spark, d):
+    """With a header; quotes and separators within values."""
+    path = _folder(spark, "csv")
+    table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(', "x"')).alias("name"), F.col("s_acctbal").alias("balance")).write.option("escape", '"').csv(path, header=True)
+    t = files.tabular(spark, path, schema="id long, name string, balance double")
+    return t.select("id", F.regexp_replace("name", ', "x"$', "").alias("name"), "balance")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def read_tsv(spark, d):
+    """Columns named by place, one of them left out; texts of several lines."""
+    path = _folder(spark, "tsv")
+    table(spark, d, "conversations").select("conv_id", F.lit("x").alias("none"), "turn", "role", "text").write.option("escape", '"').option("quoteAll", "true").csv(path, sep="\t")
+    t = files.tabular(spark, path, "tsv", columns=["conv_id", None, "turn", "role", "text"], schema="a long, b string, c long, d string, e string")
+    return t.select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT doc_id, text, lang, source FROM documents")
+def read_json_lines(spark, d):
+    path = _folder(spark, "json")
+    docs(spark, d).select("doc_id", "text", "lang", "source").write.json(path)
+    return files.tabular(spark, path, "json", schema="doc_id long, text string, lang string, source string").select("doc_id", "text", "lang", "source")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders")
+def read_custom_lines(spark, d):
+    path = _folder(spark, "lines")
+    table(spark, d, "orders").select(F.concat_ws("::", "o_orderkey", "o_orderpriority")).write.text(path)
+    parse = lambda df, c: df.select(F.split(c, "::")[0].cast("long").alias("id"), F.split(c, "::")[1].alias("priority"))
+    return files.tabular(spark, path, line_parser=parse).select("id", "priority")
+
+
+@query("SELECT s_name AS text, CASE WHEN s_acctbal >= 0 THEN 'pos' ELSE 'neg' END AS label FROM supplier")
+def read_labelled_texts(spark, d):
+    """A folder for each label, a file for each text."""
+    path = _folder(spark, "texts")
+    c = table(spark, d, "supplier").select(F.col("s_name").alias("value"), F.when(F.col("s_acctbal") >= 0, "pos").otherwise("neg").alias("label"))
+    for label in ("pos", "neg"):
+        own = c.filter(F.col("label") == label).select("value")
+        # Files of one row each, as such a corpus has them.
+        own.coalesce(1).write.option("maxRecordsPerFile", "1").option("lineSep", "\u0001").text(f"{path}/{label}")
+    return files.labelled_texts(spark, path).select(F.rtrim("text", F.lit("\u0001")).alias("text"), "label")
+
+
+@query(f"SELECT p_name AS text, {_SENT}[p_size % 5 + 1] AS label FROM part WHERE p_size % 5 <> 2")
+def read_sentiment_trees(spark, d):
+    """A tree a line; very positive and very negative become coarse, neutral ones go."""
+    path = _folder(spark, "trees")
+    _trees(spark, d).select("tree").write.text(path)
+    coarse = files.sentiment_trees(spark, path)
+    fine = files.sentiment_trees(spark, path, fine_grained=True).filter("label <> 'neutral'")
+    j = fine.select("row_id", "text", F.col("label").alias("fine")).join(coarse.select("row_id", "label"), "row_id")
+    return j.filter(F.endswith("fine", "label")).select("text", F.col("fine").alias("label"))
+
+
+@query("""SELECT CASE WHEN turn % 3 = 0 THEN 'neutral' ELSE 'entailment' END AS gold_label, text AS sentence1, role AS sentence2, '( ' || role || ' )' AS parse,
+  role AS leaves FROM conversations""")
+def read_sentence_pairs(spark, d):
+    """JSON lines with parse trees, bare words among them."""
+    path = _folder(spark, "pairs")
+    t = table(spark, d, "conversations")
+    t.select(F.when(F.col("turn") % 3 == 0, "neutral").otherwise("entailment").alias("gold_label"), F.col("text").alias("sentence1"), F.col("role").alias("sentence2"), F.concat(F.lit("( "), "role", F.lit(" )")).alias("sentence1_binary_parse"), F.col("role").alias("sentence2_binary_parse")).write.json(path)
+    p = files.sentence_pairs(spark, path, simple=False)
+    leaves = F.array_join(records.sequence_leaves(F.col("sentence2_binary_parse")), " ")
+    return p.select("gold_label", "sentence1", "sentence2", F.col("sentence1_binary_parse").alias("parse"), leaves.alias("leaves"))
+
+
+@query("SELECT p_partkey AS row_id, string_split(p_name, ' ')[1] AS first, len(string_split(p_name, ' ')) AS n FROM part")
+def read_conllu(spark, d):
+    path = _folder(spark, "conllu")
+    line = lambda x, i: F.concat_ws("\t", (i + 1).cast("string"), x, F.upper(x), *[F.lit("_")] * 3, F.lit("0"), *[F.lit("_")] * 2, F.concat(F.lit("key="), "k"))
+    blocks = table(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string")).select(F.concat(F.lit("# text\n"), F.array_join(F.transform(F.split("p_name", " "), line), "\n")).alias("value"))
+    blocks.write.option("lineSep", "\n\n").text(path)
+    t = files.conllu(spark, path)
+    return t.select(F.element_at(F.col("misc")[0], "key").cast("long").alias("row_id"), F.element_at("form", 1).alias("first"), F.size("id").cast("long").alias("n"))
+
+
+@query("""SELECT conv_id, statement, reply FROM (SELECT conv_id, turn, text AS statement, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM
+  (SELECT conv_id, turn, trim(regexp_replace(text, '[^a-zA-Z0-9 ]+', ' ', 'g'), ' ') AS text FROM conversations)) WHERE statement <> '' AND reply <> ''""")
+def read_film_dialogs(spark, d):
+    """Lines and conversations in the corpus's own form."""
+    path = _folder(spark, "films")
+    sep = " +++$+++ "
+    text = F.trim(F.regexp_replace("text", "[^a-zA-Z0-9 ]+", " "))
+    t = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"), F.concat(F.lit("L"), F.concat_ws("-", "conv_id", "turn")).alias("id"))
+    t.select(F.concat_ws(sep, "id", F.lit("u0"), F.lit("m0"), F.lit("SAM"), "text")).coalesce(1).write.text(f"{path}/movie_lines.txt")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("turn", "id"))), lambda x: F.concat(F.lit("'"), x["id"], F.lit("'")))
+    c = t.groupBy("conv_id").agg(F.array_join(ids, ", ").alias("ids"))
+    c.select(F.concat_ws(sep, F.lit("u0"), F.lit("u1"), F.concat(F.lit("m"), "conv_id"), F.concat(F.lit("["), "ids", F.lit("]")))).coalesce(1).write.text(f"{path}/movie_conversations.txt")
+    talks = files.dialog_table(spark, path, "conversations")
+    pairs = files.dialog_pairs(talks, files.dialog_table(spark, path, "lines"))
+    return pairs.join(talks.select("row_id", F.substring("movieID", 2, 20).cast("long").alias("conv_id")), "row_id").select("conv_id", "statement", "reply")
+
+
+@query("SELECT 'w' || vec_id AS token, dim, CAST(embedding[dim + 1] AS DOUBLE) AS value FROM (SELECT *, unnest(range(64)) AS dim FROM embeddings)")
+def read_word_vectors(spark, d):
+    path = _folder(spark, "vectors")
+    _vectors(spark, d).select(F.concat_ws(" ", "token", F.transform("vec", lambda x: x.cast("string")))).write.text(path)
+    return long(vectors.load(spark, path), "token", "vec", "value").withColumnRenamed("pos", "dim")
+
+
+@query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 5 < 4 UNION ALL SELECT doc_id, text, lang FROM documents WHERE doc_id % 5 = 4")
+def read_splits(spark, d):
+    """Predefined parts from paths of their own."""
+    path = _folder(spark, "parts")
+    t = docs(spark, d).select("doc_id", "text", "lang")
+    t.filter("doc_id % 5 < 4").write.parquet(f"{path}/train")
+    t.filter("doc_id % 5 = 4").write.parquet(f"{path}/test")
+    parts = files.splits(lambda p: spark.read.schema("doc_id long, text string, lang string").parquet(p), {"train": f"{path}/train", "test": f"{path}/test"})
+    return parts["train"].unionByName(parts["test"])
+
 
+# Vectors and features
 
 def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("token"), F.col("embedding").cast("array<double>").alias("vec"))

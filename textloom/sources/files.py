@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from textloom.fields import Field, label_field
 from textloom.functions.tokenize import get_tokenizer
-from textloom.operators.vocab import Vocab
+from textloom.operators.vocab import PAD, Vocab, VocabSpec
 from textloom.sources import records
 
 
@@ -175,6 +175,79 @@ def fields_of(schema: T.StructType, ignore: Sequence[str] = ()) -> dict[str, Fie
     return out
 
 
+def convert(tables: DataFrame | Mapping[str, DataFrame], fields: Mapping[str, Field] | None = None, row_id: str = "row_id", finalize: bool = True):
+    """A Dataset of a columnar table, or one for each named part; vocabularies are counted over the first part (train).
+
+    Columns of one struct of strings (translations) become a column for each of its members.
+    """
+    from textloom.operators.dataset import Dataset
+
+    parts = {"": tables} if isinstance(tables, DataFrame) else dict(tables)
+    flat = {}
+    for name, df in parts.items():
+        out = []
+        for c in df.schema.fields:
+            if isinstance(c.dataType, T.StructType) and all(isinstance(m.dataType, T.StringType) for m in c.dataType.fields):
+                out += [F.col(f"`{c.name}`.`{m.name}`").alias(f"{c.name}_{m.name}") for m in c.dataType.fields]
+            else:
+                out.append(F.col(f"`{c.name}`"))
+        flat[name] = df.select(*out) if row_id in df.columns else df.select(*out, F.monotonically_increasing_id().alias(row_id))
+    first = next(iter(flat.values()))
+    own = dict(fields) if fields is not None else fields_of(first.schema, [row_id])
+    done = {}
+    for i, (name, df) in enumerate(flat.items()):
+        done[name] = Dataset.read(df, own, row_id, finalize and i == 0)
+    return done[""] if isinstance(tables, DataFrame) else done
+
+
+# Fields that go with the corpora above.
+
+def sentiment_fields() -> dict[str, Field]:
+    return {"text": Field("text", vocab=Vocab()), "label": label_field("label")}
+
+
+def review_fields() -> dict[str, Field]:
+    """Words and punctuation apart."""
+    return {"text": Field("text", "moses", vocab=Vocab()), "label": label_field("label")}
+
+
+def pair_fields(simple: bool = True) -> dict[str, Field]:
+    """Both sentences share a vocabulary; not simple: ids and labels as they are, trees as their words."""
+    words = Vocab()
+    out = {"gold_label": label_field("gold_label"), "sentence1": Field("sentence1", vocab=words), "sentence2": Field("sentence2", vocab=words)}
+    if simple:
+        return out
+    trees = {f"sentence{i}{kind}_parse": Field(f"sentence{i}{kind}_parse", records.sequence_leaves, disable_batch_matrix=True) for i in (1, 2) for kind in ("", "_binary")}
+    ids = {c: Field(c, None, disable_batch_matrix=True) for c in ("annotator_labels", "captionID", "pairID")}
+    return out | ids | trees
+
+
+def dialog_fields() -> dict[str, Field]:
+    words = Vocab()
+    return {"statement": Field("statement", vocab=words), "reply": Field("reply", vocab=words, is_target=True)}
+
+
+def conllu_fields() -> dict[str, Field]:
+    """Words, lemmas and tags have vocabularies; ids, heads and maps stay as they are."""
+    plain = {c: Field(c, None, disable_batch_matrix=True, allow_missing_data=True) for c in ("id", "feats", "head", "deps", "misc")}
+    counted = {c: Field(c, None, Vocab(), allow_missing_data=True) for c in ("form", "lemma")}
+    tags = {c: Field(c, None, Vocab(VocabSpec(specials=(PAD,))), allow_missing_data=True) for c in ("upos", "xpos", "deprel")}
+    every = plain | counted | tags
+    return {c: every[c] for c in CONLLU}
+
+
+def delete_cache(spark: SparkSession, path: str) -> bool:
+    """Remove what write_cache wrote; whether there was anything. A folder of anything else is an error."""
+    j = spark.sparkContext._jvm
+    folder = j.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return False
+    if not fs.exists(j.org.apache.hadoop.fs.Path(f"{path}/_about")):
+        raise ValueError(f"{path} is no cache")
+    return bool(fs.delete(folder, True))
+
+
 def read_cache(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """A table that write_cache wrote, and what was said about it."""
     about = spark.read.text(f"{path}/_about").first()

@@ -86,6 +86,11 @@ def subtrees_of(text: str) -> list[tuple[str, str]]:
     return [(" ".join(leaves[a:b]), label) for a, b, label in out]
 
 
+def sequence_leaves(text: Column) -> Column:
+    """The words of a bracketed sequence of any depth without labels; a text without brackets is one by itself."""
+    return F.filter(F.split(F.regexp_replace(text, r"[()]", " "), r"\s+"), lambda x: x != "")
+
+
 def tree_rows(df: DataFrame, column: str, subtrees: bool = False, label_map: Mapping[str, str] | None = None) -> DataFrame:
     """df without the column, with text and label: of the tree, or (in Arrow batches) of each subtree, and its place."""
     others = [c for c in df.columns if c != column]
