@@ -338,6 +338,47 @@ def test_patience_aligns_equal_words_in_order():
     assert len(licenses.patience("a b a b".split(), "b a b a".split())) == 3
 
 
+def plain_counts(a, b):
+    """How many words patience alignment may align, over all longest increasing choices of anchors, by recursion."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    a, b = a[head:], b[head:]
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return {head + tail}
+    anchors = [(a.index(w), b.index(w)) for w in set(a) & set(b) if a.count(w) == 1 and b.count(w) == 1]
+    if not anchors:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return {head + tail + best[-1][-1]}
+    anchors.sort(key=lambda p: p[1])
+    rising = lambda c: all(x[0] < y[0] for x, y in zip(c, c[1:]))
+    size = max(k for k in range(len(anchors) + 1) if any(map(rising, itertools.combinations(anchors, k))))
+    found = set()
+    for chosen in filter(rising, itertools.combinations(anchors, size)):
+        edges = [(-1, -1), *chosen, (len(a), len(b))]
+        sums = {head + tail + size}
+        for p, q in zip(edges, edges[1:]):
+            gap = plain_counts(a[p[0] + 1 : q[0]], b[p[1] + 1 : q[1]])
+            sums = {x + y for x in sums for y in gap}
+        found |= sums
+    return found
+
+
+def test_patience_is_the_recursion():
+    rng = random.Random(41)
+    for kinds in (3, 6, 12):
+        for _ in range(150):
+            a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(11))] for _ in range(2))
+            assert len(licenses.patience(a, b)) in plain_counts(a, b)
+
+
 def test_license_bounds_leave_nothing_out(spark):
     rng = random.Random(5)
     s = licenses.Scanner(licenses.TEMPLATES, 0.8)
@@ -641,6 +682,88 @@ def test_classifier_without_labels(spark, odd, empty):
     assert gam.classify(empty, none).collect() == []
 
 
+def plain_tree(g, h, leaves, lam):
+    score = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + lam)
+    runs = [(0, len(g))]
+    while len(runs) < leaves:
+        cuts = [(score(a, c) + score(c, b) - score(a, b), q, c) for q, (a, b) in enumerate(runs) for c in range(a + 1, b)]
+        if not cuts or max(x[0] for x in cuts) <= 1e-9:
+            break
+        _, q, c = max(cuts, key=lambda x: (round(x[0], 12), -x[1], -x[2]))
+        runs[q : q + 1] = [(runs[q][0], c), (c, runs[q][1])]
+    out = [0.0] * len(g)
+    for a, b in runs:
+        out[a:b] = [sum(g[a:b]) / (sum(h[a:b]) + lam)] * (b - a)
+    return out
+
+
+def plain_pair(g, h, lam):
+    best = (-1.0, None)
+    n, m = len(g), len(g[0])
+    for i in range(1, n):
+        for j in range(1, m):
+            parts = [(range(x, y), range(u, v)) for x, y in ((0, i), (i, n)) for u, v in ((0, j), (j, m))]
+            sums = [(sum(g[r][c] for r in rs for c in cs), sum(h[r][c] for r in rs for c in cs)) for rs, cs in parts]
+            gain = sum(a * a / (b + lam) for a, b in sums)
+            if gain > best[0] + 1e-12:
+                best = (gain, [(rs, cs, a / (b + lam)) for (rs, cs), (a, b) in zip(parts, sums)])
+    out = [[0.0] * m for _ in range(n)]
+    for rs, cs, v in best[1] or []:
+        for r in rs:
+            for c in cs:
+                out[r][c] = v
+    return best[0], out
+
+
+def test_boosting_is_plain_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        g, h = rng.standard_normal(9), rng.random(9)
+        assert np.allclose(gam.shallow_tree(g, h, 3, 1.0), plain_tree(g.tolist(), h.tolist(), 3, 1.0))
+        g, h = rng.standard_normal((4, 5)), rng.random((4, 5))
+        gain, values = plain_pair(g.tolist(), h.tolist(), 1.0)
+        mine = gam._pair_tree(g, h, 1.0)
+        assert np.isclose(mine[0], gain) and np.allclose(mine[1], values)
+    x, y = rng.random((80, 3)).round(1), (rng.random(80) < 0.4).astype(float)
+    y[x[:, 0] > 0.6] = 1.0
+    head = gam.fit(x, y, rounds=3, bins=6, n_pairs=1, pair_bins=3, pair_rounds=2)
+    # The same row by row.
+    base = math.log(y.mean() / (1 - y.mean()))
+    cuts = lambda k, n: sorted({float(np.quantile(x[:, k], q)) for q in np.linspace(0, 1, n + 1)[1:-1]})
+    fine, coarse = [cuts(k, 6) for k in range(3)], [cuts(k, 3) for k in range(3)]
+    bin_of = lambda edges, v: sum(v >= e for e in edges)
+    scores, tables = [base] * len(y), [[0.0] * (len(e) + 1) for e in fine]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for _ in range(3):
+        for k in range(3):
+            g, h = [0.0] * len(tables[k]), [0.0] * len(tables[k])
+            for r in range(len(y)):
+                q = bin_of(fine[k], x[r, k])
+                g[q] += y[r] - sig(scores[r])
+                h[q] += sig(scores[r]) * (1 - sig(scores[r]))
+            step = [0.1 * v for v in plain_tree(g, h, 3, 1.0)]
+            tables[k] = [a + b for a, b in zip(tables[k], step)]
+            scores = [s + step[bin_of(fine[k], x[r, k])] for r, s in enumerate(scores)]
+    assert all(np.allclose(a, b) for a, b in zip(head.tables, tables))
+
+    def sums(i, j):
+        g, h = ([[0.0] * (len(coarse[j]) + 1) for _ in range(len(coarse[i]) + 1)] for _ in range(2))
+        for r in range(len(y)):
+            a, b = bin_of(coarse[i], x[r, i]), bin_of(coarse[j], x[r, j])
+            g[a][b] += y[r] - sig(scores[r])
+            h[a][b] += sig(scores[r]) * (1 - sig(scores[r]))
+        return g, h
+
+    _, i, j = max((plain_pair(*sums(i, j), 1.0)[0], i, j) for i, j in ((0, 1), (0, 2), (1, 2)))
+    table = np.zeros((len(coarse[i]) + 1, len(coarse[j]) + 1))
+    for _ in range(2):
+        step = 0.1 * np.array(plain_pair(*sums(i, j), 1.0)[1])
+        table += step
+        scores = [s + step[bin_of(coarse[i], x[r, i]), bin_of(coarse[j], x[r, j])] for r, s in enumerate(scores)]
+    assert [(a, b) for a, b, _ in head.pairs] == [(i, j)] and np.allclose(head.pairs[0][2], table)
+    assert np.allclose(head.score(x), [sig(s) for s in scores])
+
+
 def test_pairs_find_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, len(gam.FEATURES)))
