@@ -497,7 +497,7 @@ def tree_context_level0(spark, d):
 g AS (SELECT t.node_id, coalesce(list(ctx_id ORDER BY ctx_id) FILTER (ctx_id IS NOT NULL), []) AS ctx FROM t LEFT JOIN c USING (node_id) GROUP BY t.node_id)
 SELECT node_id, CAST(node_id // 16 AS BIGINT) AS batch_id, CAST(node_id % 16 AS BIGINT) AS pos, array_to_string(list_append(ctx[-3:], node_id), ' ') AS rows FROM g""")
 def batch_hierarchical(spark, d):
-    c = written(tree.contexts(written(forest(spark, d), "forest"), 0), "contexts")
+    c = written(tree.contexts(written(forest(spark, d), "forest"), 0, 3), "contexts")
     return batching.hierarchical(c, 16, 3).withColumn("rows", joined("rows"))
 
 
