@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.fields import Field, Schema
 from textloom.functions import arrays, hooks, tokenize
 from textloom.functions.stemmer import porter
 
@@ -161,3 +162,21 @@ def test_ngrams_and_multi_hot(spark):
     df = spark.createDataFrame([(["a", "b", "c"], [0, 2]), (["a"], []), ([], [1]), (None, None)], "t array<string>, i array<long>")
     got = [tuple(r) for r in df.select(arrays.ngrams(F.col("t"), 1, 3), arrays.multi_hot(F.col("i"), 3), arrays.last_of(F.col("i"), 1)).collect()]
     assert got == [(["a", "b", "c", "a b", "b c", "a b c"], [1, 0, 1], [2]), (["a"], [0, 0, 0], []), ([], [0, 1, 0], [1]), (None, None, None)]
+
+
+def test_stems_of_other_languages(spark):
+    from textloom.functions.stemmer import STEMMERS
+
+    cases = {
+        "de": "aufeinander aufeinand aufeinanderfolge aufeinanderfolg aufeinanderfolgend aufeinanderfolg aufeinanderfolgenden aufeinanderfolg kategorie kategori kategorien kategori kater kat katers kat katze katz katzen katz kätzchen katzch straße strass freundlichkeit freundlich häuser haus",
+        "sv": "jakten jakt jaktkarlar jaktkarl jaktkarlarne jaktkarl jaktkarlens jaktkarl kloka klok klokare klok klokast klok klokaste klok klokhet klok klokheten klok klo klo",
+        "no": "havnedistriktene havnedistrikt havnedistrikter havnedistrikt opninga opning hesten hest hestene hest",
+        "da": "underste underst undersåtter undersåt undersåtterne undersåt indtagelse indtag hesten hest",
+    }
+    for language, words in cases.items():
+        words = words.split()
+        assert [STEMMERS[language](w) for w in words[::2]] == words[1::2], language
+    rows = spark.createDataFrame([(["häuser", "katzen", "häuser"],)], "t array<string>")
+    f = Field("t", None, hooks=(hooks.stem("de"),))
+    assert Schema({"t": f}).apply(rows.withColumn("r", F.lit(1)), "r").first().t == ["haus", "katz", "haus"]
+    assert all(fn("") == "" and fn("a") == "a" for fn in STEMMERS.values())

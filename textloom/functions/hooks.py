@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrays import ngrams
-from textloom.functions.stemmer import porter
+from textloom.functions.stemmer import STEMMERS
 from textloom.functions.stopwords import STOPWORDS
 from textloom.functions.tokenize import SPACE, chain
 
@@ -165,9 +165,10 @@ def ngram(low: int, high: int, sep: str = " ") -> Hook:
 
 
 def stem(language: str = "en") -> Hook:
-    """Porter stems, in Arrow batches: each distinct token of a batch is stemmed once."""
-    if language not in ("en", "porter"):
-        raise ValueError(f"no stemmer for {language}")
+    """Stems (Porter's for en, Snowball's for da, de, no, sv), in Arrow batches: each distinct token of a batch is stemmed once."""
+    if language not in STEMMERS:
+        raise ValueError(f"no stemmer for {language}; there are {', '.join(STEMMERS)}")
+    stemmer = STEMMERS[language]
 
     @F.pandas_udf("array<string>")
     def run(tokens: pd.Series) -> pd.Series:
@@ -177,7 +178,7 @@ def stem(language: str = "en") -> Hook:
             if t is None:
                 return None
             if t not in known:
-                known[t] = porter(t)
+                known[t] = stemmer(t)
             return known[t]
 
         return tokens.map(lambda row: None if row is None else [of(t) for t in row])

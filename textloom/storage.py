@@ -24,8 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that were given out, for those who know when their tables aren't read any more.
+_given: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def mark() -> int:
+    """For drop_since: what is written from here on."""
+    return len(_given)
+
+
+def drop_since(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables written since a mark but for those that kept read."""
+    used = [f for df in kept for f in df.inputFiles()]
+    j = spark.sparkContext._jvm
+    for path in _given[since:]:
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in used):
+            folder = j.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _given[since:] = [p for p in _given[since:] if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in used)]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
