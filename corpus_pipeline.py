@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import exact_dedup, mixing, near_dup, packing, quality_rules
 from textloom.llm.common import written
+from textloom.storage import drop_since, mark
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,7 +51,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's tables go once its own is written, and a stage's own once the next one's is."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        drop_since(spark, since, docs)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_since(spark, since, out)
+    return out
