@@ -1,32 +1,41 @@
 """Encodings inside the operators, against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 
 from textloom.llm import lm_scoring, near_dup
 
 
-def test_symbols_are_bytes_and_escapes():
-    texts = ["", "abc", "é\x7f日本", "x" * 50 + "ü", ""]
+def test_units_are_codes_and_marked_halves():
+    texts = ["", "abc", "é\x7f日本A|", "x" * 50 + "ü", ""]
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offs = np.r_[0, np.cumsum([len(r) for r in raw])]
-    got, at = lm_scoring.symbols(data, offs)
-    want = [[s for b in r for s in ([127, b & 127] if b >= 127 else [b])] for r in raw]
+    got, at = lm_scoring.units(data, offs)
+    usual = lm_scoring.USUAL
+    assert len(set(usual)) == 31
+    want = [[u for b in r for u in ([usual.index(bytes([b]))] if bytes([b]) in usual else [31, b // 16, b % 16])] for r in raw]
     assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
-    plain, same = lm_scoring.symbols(data[:3], np.array([0, 3]))
-    assert plain.tolist() == [97, 98, 99] and same.tolist() == [0, 3]
+    back = [lm_scoring.before(got, at, d) for d in (1, 3)]
+    for a, b in zip(at[:-1], at[1:]):
+        for d, x in zip((1, 3), back):
+            assert x[a:b].tolist() == ([0] * d + got[a:b].tolist())[: b - a]
 
 
-def test_packed_pairs_and_sets_come_back():
+def test_packed_pairs_and_texts_come_back():
     rng = np.random.default_rng(1)
-    fp = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
-    size = rng.integers(1, 900, 40)
+    fam = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
+    low = rng.integers(1, 900, 40)
+    high = low + rng.integers(0, 90, 40)
     key = np.unique(rng.integers(0, 40 * 40, 300))
     a, b = key // 40, key % 40
     shared = rng.integers(1, 70000, len(a))
-    f, s, x, y, n = near_dup.unpack_pairs(near_dup.pack_pairs(fp, size, a, b, shared))
-    assert (f[x] == fp[a]).all() and (f[y] == fp[b]).all() and (s[x] == size[a]).all() and (s[y] == size[b]).all() and (n == shared).all()
-    sets = [np.sort(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (3, 1, 200)]
-    ids = np.array([5, -7, 9])
-    blob = near_dup.squeeze(np.array([3], np.int64), ids, np.array([3, 1, 200], np.int64), *sets)
-    assert [(i, v.tolist()) for i, v in near_dup.unpack_sets(blob)] == [(i, v.tolist()) for i, v in zip(ids.tolist(), sets)]
+    f, lo, hi, x, y, n = near_dup.unpack_pairs(near_dup.pack_pairs(fam, low, high, a, b, shared))
+    assert (f[x] == fam[a]).all() and (f[y] == fam[b]).all() and (n == shared).all()
+    assert all((got[q] == want[p]).all() for got, want in ((lo, low), (hi, high)) for q, p in ((x, a), (y, b)))
+    texts = [b"one two three four", b"", "ü ä ö é".encode(), b"one two three four"]
+    table = pa.RecordBatch.from_pydict({"t": [near_dup.squeeze(np.array([len(t)], np.int64), np.frombuffer(t, np.uint8)) for t in texts], "fp": [1, -2, 3, 4], "fam": [5, 6, 6, 5], "copies": [1, 2, 3, 4], "blocks": [[{"k": 9, "ci": 0, "cj": 1, "own": k % 2}] for k in range(4)]})
+    (out,) = near_dup._texts_of(iter([table]))
+    rows = list(near_dup.unpack_texts(out.column("blob")[0].as_py(), 3))
+    want = list(near_dup.shingle_sets(pa.array([t.decode() for t in texts]), 3))
+    assert [r[:4] for r in rows] == [(1, 5, 1, 0), (-2, 6, 2, 1), (3, 6, 3, 0), (4, 5, 4, 1)] and all((r[4] == w).all() for r, w in zip(rows, want))
