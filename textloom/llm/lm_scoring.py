@@ -48,7 +48,7 @@ from textloom.llm.shingles import power_sums
 USUAL = b" etaoinshrdlcumfpgwybvkxjqz\n.,-"
 RARE, PLACES = 31, 5
 WINDOW, ANCHOR = 24, 128
-HELD, LANES = 4 << 20, 1024
+HELD, LANES = 12 << 20, 4096
 #: Units after which weights, tables and map learn what they have seen.
 UNITS = 32
 COUNT_PARTS, SLICES = 32, 64
