@@ -595,6 +595,23 @@ def test_scores_are_the_scalar_coder(monkeypatch, units, lanes):
     assert got[-1] < 0.75 * alone[0]
 
 
+def test_texts_with_and_without_matches_are_coded_together(monkeypatch):
+    rng = random.Random(61)
+    texts = [words(rng, n) for n in (400, 3, 90, 17, 230, 1)] + ["É", "abc" * 700]
+    raw = [t.encode() for t in texts] * 2
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    at, key, _ = lm_scoring.anchors_of(np.frombuffer(raw[0], np.uint8), np.array([0, len(raw[0])]))
+    found = [{k: raw[0][a : a + 90] for a, k in zip(at.tolist(), key.view(np.int64).tolist())} if i in (0, 8) else None for i in range(len(raw))]
+    calls, coder = [], lm_scoring.code_lengths
+    monkeypatch.setattr(lm_scoring, "code_lengths", lambda t, own: calls.append(len(own)) or coder(t, own))
+    want = lm_scoring.score_batch(data, offs, found, node_counts_of(texts))
+    assert found[0] and calls == [len(raw)] and np.allclose(want[:8], want[8:], rtol=1e-5)
+    for lanes, near, stretch, blocks in ((3, 2, 1, 1), (5, 32, 3000, 4), (4096, 4, 1 << 20, 64)):
+        for name, value in (("LANES", lanes), ("NEAR", near), ("STRETCH", stretch), ("MOST_BLOCKS", blocks)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        assert np.allclose(lm_scoring.score_batch(data, offs, found, node_counts_of(texts)), want, rtol=1e-5)
+
+
 def test_corpus_counts_and_followers(spark, odd, empty):
     rng = random.Random(12)
     text = lambda n: "".join(rng.choice("abcdefgh ijk") for _ in range(n))

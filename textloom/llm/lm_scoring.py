@@ -33,6 +33,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 
@@ -48,9 +49,13 @@ from textloom.llm.shingles import power_sums
 USUAL = b" etaoinshrdlcumfpgwybvkxjqz\n.,-"
 RARE, PLACES = 31, 5
 WINDOW, ANCHOR = 24, 128
-HELD, LANES = 12 << 20, 4096
+HELD, LANES = 12 << 20, 256
 #: Units after which weights, tables and map learn what they have seen.
 UNITS = 32
+#: Bits of several blocks, side by side, that are prepared together.
+STRETCH, MOST_BLOCKS = 1 << 18, 64
+#: Lanes whose tables learn together.
+NEAR = 64
 COUNT_PARTS, SLICES = 32, 64
 #: Rates of the weights, of the two tables by order, and of the map.
 RATE, TABLE_RATES, MAP_RATE = 0.02, (0.35, 1.1), 0.005
@@ -61,11 +66,15 @@ SCALE, LEAST = 1 / 15.0, 1 / 4096
 
 _CODE = np.full(256, RARE, np.uint8)
 _CODE[list(USUAL)] = np.arange(len(USUAL))
+#: Shifts that leave the bits before a place, with a mark in front, and the place's own bit.
+_DOWN = np.arange(PLACES, 0, -1, dtype=np.uint8)[:, None]
+_LEAD = (1 << np.arange(PLACES)).astype(np.uint8)[:, None]
+_NEXT = _DOWN - np.uint8(1)
 _NODE_MULT, _HASH_MULT = np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
 
 
-def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """5-bit units of each text, and their offsets."""
+def units_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """5-bit units of bytes, and the first unit of each byte (one more at the end)."""
     rare = _CODE[data] == RARE
     at = np.zeros(len(data) + 1, np.int64)
     np.cumsum(1 + 2 * rare.astype(np.int64), out=at[1:])
@@ -73,6 +82,12 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[at[:-1]] = _CODE[data]
     pos = at[:-1][rare]
     out[pos + 1], out[pos + 2] = data[rare] >> 4, data[rare] & 15
+    return out, at
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """5-bit units of each text, and their offsets."""
+    out, at = units_at(data)
     return out, at[offs]
 
 
@@ -120,10 +135,10 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
 def node_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of counts by unit the 0s and 1s by node of the unit's bits, for each 32 in a row."""
     c = counts.reshape(-1, 32)
-    zeros, ones = np.zeros(c.shape, np.int64), np.zeros(c.shape, np.int64)
-    for j in range(PLACES):
-        own = c.reshape(len(c), 1 << j, 2, -1).sum(axis=3)
-        zeros[:, 1 << j : 2 << j], ones[:, 1 << j : 2 << j] = own[:, :, 0], own[:, :, 1]
+    zeros, ones = np.zeros_like(c), np.zeros_like(c)
+    for j in range(PLACES - 1, -1, -1):
+        zeros[:, 1 << j : 2 << j], ones[:, 1 << j : 2 << j] = c[:, ::2], c[:, 1::2]
+        c = c[:, ::2] + c[:, 1::2]
     return zeros.ravel(), ones.ravel()
 
 
@@ -136,7 +151,7 @@ def anchors_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     s, inv = power_sums(data)
     key = mix64((s[WINDOW:] - s[:-WINDOW]) * inv[: n - WINDOW + 1])
-    at = np.flatnonzero(key % np.uint64(ANCHOR) == 0)
+    at = np.flatnonzero(key & np.uint64(ANCHOR - 1) == 0)
     text = np.searchsorted(offs, at, side="right") - 1
     ok = at + WINDOW <= offs[text + 1]
     at = at[ok]
@@ -197,63 +212,72 @@ def guesses(data: np.ndarray, found: Mapping[int, bytes]) -> tuple[np.ndarray, n
             n = min(len(rest), len(data) - a)
             guess[a : a + n] = np.frombuffer(rest, np.uint8, n)
             state[a : a + n] = 1
-    place = np.arange(len(data))
-    missed = np.maximum.accumulate(np.where((state > 0) & (guess != data), place, -(1 << 40)))
-    run = place - 1 - np.r_[-(1 << 40), missed[:-1]] if len(data) else place
-    state[state > 0] += np.searchsorted(RUNS, run[state > 0], side="right").astype(np.uint8)
+    place = np.flatnonzero(state)
+    if len(place):
+        missed = np.maximum.accumulate(np.where(guess[place] != data[place], place, -(1 << 40)))
+        run = place[1:] - 1 - missed[:-1]
+        state[place[0]] += len(RUNS)
+        state[place[1:]] += sum((run >= r).astype(np.uint8) for r in RUNS)
     return guess, state
 
 
 # Coding.
 
 class Texts:
-    """Flat arrays by unit of some texts."""
+    """Flat arrays by unit of some texts, with room for a stretch of blocks behind the last."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, bytes] | None], counts: tuple[np.ndarray, np.ndarray]):
-        self.u, self.offs = units(data, offs)
-        self.known = self._without_own(*counts)
-        guess, state = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+        u, at = units_at(data)
+        self.offs = at[offs]
+        room = MOST_BLOCKS * UNITS
+        #: The units, behind three zeros.
+        self.padded = np.zeros(len(u) + 3 + room, np.uint8)
+        self.padded[3 : len(u) + 3] = u
+        self.guess, self.state = np.zeros(len(u) + room, np.uint8), np.zeros(len(u) + room, np.uint8)
         for i, f in enumerate(found):
             if f:
-                guess[offs[i] : offs[i + 1]], state[offs[i] : offs[i + 1]] = guesses(data[offs[i] : offs[i + 1]], f)
-        # The guessed units of a byte, as long as those before were right.
-        code, right = _CODE[guess], _CODE[guess] == _CODE[data]
-        rare = _CODE[data] == RARE
-        at = np.zeros(len(data), np.int64)
-        np.cumsum(1 + 2 * rare[:-1].astype(np.int64), out=at[1:]) if len(data) > 1 else None
-        self.guess, self.state = np.zeros_like(self.u), np.zeros_like(self.u)
-        self.guess[at], self.state[at] = code, state
-        second = rare & right & (state > 0)
+                own = slice(offs[i], offs[i + 1])
+                self._guess(data[own], at[own], *guesses(data[own], f))
+        del at
+        #: Scaled log-odds by the corpus's counts, less the text's own: 32 for each context of each text, and where each unit's begin.
+        self.odds, self.row = self._without_own(u, *counts)
+
+    def _guess(self, data: np.ndarray, at: np.ndarray, guess: np.ndarray, state: np.ndarray) -> None:
+        """The guessed units of each byte of a text, as long as those before were right."""
+        place = np.flatnonzero(state)
+        data, at, guess, state = data[place], at[place], guess[place], state[place]
+        self.guess[at], self.state[at] = _CODE[guess], state
+        second = np.flatnonzero((_CODE[data] == RARE) & (_CODE[guess] == RARE))
         self.guess[at[second] + 1], self.state[at[second] + 1] = guess[second] >> 4, state[second]
-        third = second & (guess >> 4 == data >> 4)
+        third = second[guess[second] >> 4 == data[second] >> 4]
         self.guess[at[third] + 2], self.state[at[third] + 2] = guess[third] & 15, state[third]
 
-    def _without_own(self, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        """Scaled log-odds by the corpus's counts, less the text's own, of each unit and place."""
+    def _without_own(self, u: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = np.float32
-        p1, p2 = before(self.u, self.offs, 1), before(self.u, self.offs, 2)
-        out = np.empty((PLACES, len(self.u)), np.int8)
-        doc = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
+        context = (before(u, self.offs, 2).astype(np.int32) << 5) | before(u, self.offs, 1)
         zeros, ones = zeros.astype(f) + f(0.4), ones.astype(f) + f(0.4)
-        for i in range(0, len(self.offs) - 1, 64):
-            a, b = int(self.offs[i]), int(self.offs[min(i + 64, len(self.offs) - 1)])
-            u = self.u[a:b]
-            place = ((doc[a:b] - i) << 10) | (p2[a:b].astype(np.int64) << 5) | p1[a:b]
-            seen = np.zeros(64 << 10, bool)
+        table, row, at = [np.zeros(0, np.int8)], np.zeros(len(u) + MOST_BLOCKS * UNITS, np.int32), 0
+        for i in range(0, len(self.offs) - 1, 16):
+            some = self.offs[i : i + 17]
+            a, b = int(some[0]), int(some[-1])
+            place = context[a:b] + np.repeat(np.arange(len(some) - 1, dtype=np.int32) << 10, np.diff(some))
+            seen = np.zeros(16 << 10, bool)
             seen[place] = True
             own = np.flatnonzero(seen)  # the texts' contexts, in dense rows of 32 cells
-            base = ((np.cumsum(seen) - 1) << 5)[place]
-            cells = np.stack([base + ((1 << j) | (u >> (PLACES - j))) for j in range(PLACES)])
-            bits = np.stack([(u >> (PLACES - 1 - j)) & 1 for j in range(PLACES)])
-            n = np.bincount((2 * cells + bits).ravel(), minlength=len(own) << 6).reshape(-1, 2)
-            used = np.flatnonzero(n[:, 0] + n[:, 1])
-            cell = ((own[used >> 5] & 1023) << 5) | (used & 31)
-            x = ones[cell] - n[used, 1].astype(f)
-            x /= zeros[cell] - n[used, 0].astype(f)
-            odds = np.zeros(len(n), np.int8)
-            odds[used] = np.rint((np.log(x) * f(1 / SCALE)).clip(-127, 127))
-            out[:, a:b] = odds[cells]
-        return out
+            base = ((np.cumsum(seen, dtype=np.int32) - 1) << 5).take(place)
+            n0, n1 = node_counts(np.bincount(base + u[a:b], minlength=len(own) << 5).astype(np.int32))
+            used = np.flatnonzero(n0 | n1)
+            cell = ((own << 5) & 0x7FFF).take(used >> 5) | (used & 31)
+            x = ones.take(cell) - n1.take(used).astype(f)
+            x /= zeros.take(cell) - n0.take(used).astype(f)
+            np.log(x, out=x)
+            x *= f(1 / SCALE)
+            odds = np.zeros(len(n0), np.int8)
+            odds[used] = np.rint(x.clip(-127, 127))
+            table.append(odds)
+            np.add(base, at, out=row[a:b], casting="unsafe")
+            at += len(odds)
+        return np.concatenate(table), row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -270,86 +294,118 @@ def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
     start, lens = t.offs[own], t.offs[own + 1] - t.offs[own]
     lanes = len(own)
     slots = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(lens, 1))).astype(np.int64))
-    table = np.zeros(lanes * 1024 + int(slots.sum()), f)
-    low = lanes * 1024 + np.cumsum(slots) - slots
+    # A lane's two tables by context are neighbours. The last cell is for what lies behind the end of a text.
+    table = np.zeros(lanes * 1024 + int(slots.sum()) + 1, f)
+    low = np.cumsum(slots + 1024) - slots - 1024
     mask = (slots - 1).astype(np.uint32)
-    lane = np.arange(lanes)
-    # Without a match there is one set of weights for each place, and no fourth predictor.
-    matched = bool(max(t.state[x : x + n].any() for x, n in zip(start.tolist(), lens.tolist())))
-    states, n_in = (4, 4) if matched else (1, 3)
-    w = np.empty((PLACES, states, n_in, lanes), f)
-    w[:] = np.array(FIRST_WEIGHTS[:n_in], f)[:, None]
+    # Where no match is, the fourth predictor gives 0; the weights of the other states are kept apart.
+    w = np.empty((3, PLACES, lanes), f)
+    w[:] = np.array(FIRST_WEIGHTS[:3], f)[:, None, None]
+    w_matched = np.empty((3, 4, PLACES, lanes), f)
+    w_matched[:] = np.array(FIRST_WEIGHTS, f)[:, None, None]
+    w_matched = w_matched.ravel()
+    steps = np.arange(4)[:, None] * (PLACES * lanes)
     slope, shift = np.ones((PLACES, lanes), f), np.zeros((PLACES, lanes), f)
-    rates = np.array(TABLE_RATES, f)[:, None, None, None]
-    trust = np.array(TRUST, f)
+    rates, trust = np.array(TABLE_RATES, f)[:, None, None, None], np.array(TRUST, f)
     bits = np.zeros(lanes)
     longest = int(lens[0]) if lanes else 0
-    active = np.searchsorted(-lens, -np.arange(0, longest, UNITS), side="left").tolist()
-    for at, a in zip(range(0, longest, UNITS), active):
-        place = at + np.arange(min(UNITS, longest - at))[:, None]
-        here = place < lens[:a]
-        idx = start[:a] + np.minimum(place, lens[:a] - 1)
-        shape = (len(place), PLACES, a)
-        u = t.u[idx]
-        back = [t.u[np.maximum(idx - d, start[:a])] for d in (1, 2, 3)]
-        for d in range(1, 4):
-            back[d - 1][: max(0, d - at)] = 0  # nothing is known from before a text
-        first = lane[:a] * 1024 + (back[0].astype(np.int64) << 5)
-        hashed = ((back[2].astype(np.uint32) << 10) | (back[1].astype(np.uint32) << 5) | back[0]) * np.uint32(0x9E3779B1)
-        cell, st, bit = np.empty((2, *shape), np.int64), np.empty((n_in, *shape), f), np.empty(shape, f)
-        if matched:
-            guess, state, held = t.guess[idx], t.state[idx], np.empty(shape, np.uint8)
-        for j in range(PLACES):
-            node = (1 << j) | (u >> (PLACES - j)).astype(np.uint32)
-            np.add(first, node, out=cell[0, :, j], casting="unsafe")
-            x = hashed + node * _NODE_MULT
-            x ^= x >> np.uint32(15)
-            x *= _HASH_MULT
-            x ^= x >> np.uint32(13)
-            x &= mask[:a]
-            np.add(low[:a], x, out=cell[1, :, j], casting="unsafe")
-            np.multiply(t.known[j][idx], f(SCALE), out=st[2, :, j], casting="unsafe")
-            bit[:, j] = (u >> (PLACES - 1 - j)) & 1
-            if matched:
-                s = np.where(guess >> (PLACES - j) == u >> (PLACES - j), state, 0)
-                np.multiply(trust[s], ((guess >> (PLACES - 1 - j)) & 1) * f(2) - f(1), out=st[3, :, j])
-                held[:, j] = s
-        table.take(cell, out=st[:2], mode="clip")
-        # The set of weights: by place and by state of the match.
-        dot, part, sets = np.zeros(shape, f), np.empty(shape, f), []
-        for s in range(states):
-            in_set = (held == s).astype(f) if matched else None
-            if matched and not in_set.any():
-                continue
-            sets.append((s, in_set))
-            mixed = st[0] * w[:, s, 0, :a]
-            for i in range(1, n_in):
-                mixed += np.multiply(st[i], w[:, s, i, :a], out=part)
-            dot += mixed if in_set is None else np.multiply(mixed, in_set, out=mixed)
-        # The refined prediction: a logistic map of the mixed one.
-        z = _sigmoid(dot * slope[:, :a] + shift[:, :a])
-        z *= f(1 - 2 * LEAST)
-        z += f(LEAST)
-        wrong = bit - z
-        cost = np.log2(f(1) - np.abs(wrong))
-        bits[:a] -= (cost.sum(axis=1) * here).sum(axis=0)
-        # Learning, from all bits of these units at once.
-        some = here[:, None]
-        wrong *= some
-        shift[:, :a] += f(MAP_RATE) * wrong.sum(axis=0)
-        slope[:, :a] += f(MAP_RATE) * np.multiply(wrong, dot, out=wrong).sum(axis=0)
-        err = (bit - _sigmoid(dot)) * some
-        err *= f(RATE)
-        for s, in_set in sets:
-            own_err = err if in_set is None else err * in_set
-            for i in range(n_in):
-                w[:, s, i, :a] += np.multiply(st[i], own_err, out=part).sum(axis=0)
-        own_err = _sigmoid(st[:2])
-        np.subtract(bit, own_err, out=own_err)
-        own_err *= rates
-        own_err *= some
-        np.add.at(table, cell.ravel(), own_err.ravel())
-    return bits
+    at = 0
+    while at < longest:
+        # What isn't learned is made for several blocks of units at a time.
+        a = int(np.searchsorted(-lens, -at, side="left"))
+        k = max(1, min(STRETCH // (a * PLACES * UNITS), MOST_BLOCKS, -(-(longest - at) // UNITS)))
+        n = k * UNITS
+        full = int(np.searchsorted(-lens, -at - n, side="right"))
+        here = at + np.arange(n)[:, None] < lens[full:a]
+        over = ~here[:, None]
+        place, shape = start[:a] + at, (n, PLACES, a)
+        around, row = (np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, m)[place].T) for x, m in ((t.padded, n + 3), (t.row, n)))
+        around[: max(0, 3 - at)] = 0  # nothing is known from before a text
+        u = around[3:, None]
+        back = [around[3 - d : n + 3 - d] for d in (1, 2, 3)]
+        node = (u >> _DOWN) | _LEAD
+        bit = ((u >> _NEXT) & np.uint8(1)).astype(f)
+        blocks = (k, UNITS, PLACES, a)
+        first = (low[:a] + (back[0].astype(np.int64) << 5)).reshape(k, UNITS, 1, a)
+        hashed = ((back[2].astype(np.uint32) << np.uint32(10)) | (back[1].astype(np.uint32) << np.uint32(5)) | back[0]) * np.uint32(0x9E3779B1)
+        x = node.astype(np.uint32)
+        x *= _NODE_MULT
+        x += hashed[:, None]
+        x ^= x >> np.uint32(15)
+        x *= _HASH_MULT
+        x ^= x >> np.uint32(13)
+        x &= mask[:a]
+        st = np.empty((k, 3, UNITS, PLACES, a), f)
+        np.multiply(t.odds.take(row[:, None] + node, mode="clip").reshape(blocks), f(SCALE), out=st[:, 2])
+        bit = bit.reshape(blocks)
+        # The tables learn by themselves: a few lanes at a time, so that theirs stay in the processor's cache.
+        for c in range(0, a, NEAR):
+            e = min(a, c + NEAR)
+            cell = np.empty((k, 2, UNITS, PLACES, e - c), np.int64)
+            np.add(first[..., c:e], node.reshape(blocks)[..., c:e], out=cell[:, 0])
+            np.add(low[c:e] + 1024, x.reshape(blocks)[..., c:e], out=cell[:, 1])
+            if full < e:
+                np.copyto(cell[..., max(full - c, 0) :], len(table) - 1, where=over[..., max(c - full, 0) : e - full].reshape(k, 1, UNITS, 1, -1))
+            own_bit = np.ascontiguousarray(bit[..., c:e])
+            got = np.empty(cell.shape, f)
+            for b in range(k):
+                table.take(cell[b], out=got[b], mode="clip")
+                miss = _sigmoid(got[b])
+                np.subtract(own_bit[b], miss, out=miss)
+                miss *= rates
+                np.add.at(table, cell[b].ravel(), miss.ravel())
+            st[:, :2, ..., c:e] = got
+        # The bits of a match, each with the weights of its state.
+        state = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t.state, n)[place].T)
+        state[:, full:] *= here
+        edges = None
+        if state.any():
+            guess = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t.guess, n)[place].T)
+            some = np.flatnonzero((((guess[:, None] ^ u) >> _DOWN) == 0) & (state > 0)[:, None])
+            edges = np.searchsorted(some, np.arange(k + 1) * (UNITS * PLACES * a)).tolist()
+            q = some // a
+            col, unit = some - q * a, q // PLACES
+            j = q - unit * PLACES
+            cells = unit * a + col
+            kind = state.ravel().take(cells).astype(np.int64)
+            own_w = (kind - 1) * (4 * PLACES * lanes) + j * lanes + col + steps  # of each input and bit
+            own_st = np.empty((4, len(some)), f)
+            np.multiply(trust.take(kind), ((guess.ravel().take(cells) >> (PLACES - 1 - j).astype(np.uint8)) & np.uint8(1)) * f(2) - f(1), out=own_st[3])
+        right = np.empty((k, UNITS, a), f)
+        for b in range(k):
+            dot = np.einsum("iuja,ija->uja", st[b], w[:, :, :a])
+            if edges and edges[b] < edges[b + 1]:
+                e = slice(edges[b], edges[b + 1])
+                cells = some[e] - b * (UNITS * PLACES * a)
+                own_st[:3, e] = st[b].reshape(3, -1).take(cells, axis=1)
+                dot.ravel()[cells] = np.einsum("ix,ix->x", own_st[:, e], w_matched.take(own_w[:, e]))
+            # The refined prediction: a logistic map of the mixed one.
+            z = dot * slope[:, :a]
+            z += shift[:, :a]
+            z = _sigmoid(z)
+            z *= f(1 - 2 * LEAST)
+            z += f(LEAST)
+            wrong = np.subtract(bit[b], z, out=z)
+            np.multiply.reduce(f(1) - np.abs(wrong), axis=1, out=right[b])  # 1e-18 at least
+            # Learning, from all bits of these units at once.
+            err = bit[b] - _sigmoid(dot)
+            if full < a:
+                ended = over[b * UNITS : (b + 1) * UNITS]
+                np.copyto(wrong[..., full:], 0, where=ended)
+                np.copyto(err[..., full:], 0, where=ended)
+            shift[:, :a] += f(MAP_RATE) * wrong.sum(axis=0)
+            slope[:, :a] += f(MAP_RATE) * np.einsum("uja,uja->ja", wrong, dot)
+            if edges and edges[b] < edges[b + 1]:
+                own_err = err.ravel().take(cells)
+                own_err *= f(RATE)
+                err.ravel()[cells] = 0
+                np.add.at(w_matched, own_w[:, e].ravel(), (own_st[:, e] * own_err).ravel())
+            w[:, :, :a] += f(RATE) * np.einsum("iuja,uja->ija", st[b], err)
+        right = right.reshape(n, a)
+        np.copyto(right[:, full:], 1, where=over[:, 0])
+        bits[:a] -= np.log(right, out=right).sum(axis=0, dtype=np.float64)
+        at += n
+    return bits / math.log(2)
 
 
 def score_batch(data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, bytes] | None], counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -358,11 +414,10 @@ def score_batch(data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, byt
     n = np.diff(t.offs)
     out = np.zeros(len(n))
     order = np.argsort(-n, kind="stable")
-    matched = np.array([bool(f) for f in found], bool)[order]
-    for group in (order[matched & (n[order] > 0)], order[~matched & (n[order] > 0)]):
-        for s in range(0, len(group), LANES):
-            own = group[s : s + LANES]
-            out[own] = code_lengths(t, own)
+    order = order[n[order] > 0]
+    for s in range(0, len(order), LANES):
+        own = order[s : s + LANES]
+        out[own] = code_lengths(t, own)
     return out
 
 
