@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import chat_format, exact_dedup, gam, licenses, lm_scoring, mixing, near_dup, packing, quality_rules, site_tree
@@ -293,6 +294,52 @@ def test_collisions_within_a_bucket_lose_nothing():
     assert [x.tolist() for x in got] == [[0, 1, 2], [4, 5, 9], [6, 5, 20], [0, 1, 0], [5, 5, 7, 0xFFFF0007], [0, 1, 1, 2]]
 
 
+def test_tokens_that_are_rare_in_each_task_come_last():
+    """A passage that each of many tasks has once or twice is known as frequent; other words aren't."""
+    rng = random.Random(31)
+    w = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    passage, blobs, others = w(30), {}, []
+    for k in range(60):
+        others += [w(40) for _ in range(2)]
+        texts = [f"{x} {passage}" for x in others[-2:]]
+        b = pa.RecordBatch.from_arrays([pa.array([2 * k, 2 * k + 1], pa.int64()), pa.array([0, 0], pa.int64()), pa.array(texts)], names=["doc_id", "xx", "t"])
+        for out in near_dup._facts(3)(iter([b])):
+            for part, x in zip(out.column("size").to_pylist(), out.column("tokens").to_pylist()):
+                if x is not None:
+                    blobs.setdefault(part, []).append(x)
+    bits = np.zeros(near_dup.HOT_BITS // 8, np.uint8)
+    for part, x in blobs.items():
+        own = near_dup.hot_bits(x)
+        bits[part * len(own) : (part + 1) * len(own)] = own
+    hot = near_dup.Hot(bits)
+    sets = lambda texts: np.concatenate(list(near_dup.shingle_sets(pa.array(texts), 3)))
+    assert hot(sets([passage])).all() and not hot(sets(others)).any()
+
+
+def test_the_most_frequent_tokens_are_put_last(monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 4 * near_dup.HOT_PARTS)
+    tokens = np.arange(1, 21, dtype=np.uint64) << np.uint64(38)  # of one part
+    lists = [tokens[k:] for k in range(20)]  # the last comes 20 times, the first once
+    hot = near_dup.Hot(np.r_[near_dup.hot_bits([near_dup.pack_sample(x)[0] for x in lists]), np.zeros((near_dup.HOT_BITS - near_dup.HOT_BITS // near_dup.HOT_PARTS) // 8, np.uint8)])
+    assert hot(tokens).tolist() == [0] * 16 + [1] * 4
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 700])
+def test_sets_of_families_are_compared_by_products(monkeypatch, cells):
+    monkeypatch.setattr(near_dup, "_TILE_CELLS", cells)
+    monkeypatch.setattr(near_dup, "_TILE_SETS", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(60)]
+    fp, fam, own = np.arange(60), np.repeat([1, 2, 3], 20), np.arange(60) % 2
+    block = near_dup.Block(fp, fam, np.ones(60, np.int64), own, sets, 0.5)
+    pairs = (np.array([1, 1, 2]), np.array([1, 2, 2]))
+    jac = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    for ci, cj in ((0, 0), (0, 1)):
+        got = Counter((*sorted((int(block.fp[i]), int(block.fp[j]))), round(float(x), 9)) for i, js, xs in block.found(pairs, ci, cj) for j, x in zip(js, xs))
+        both = [(i, j) for i in range(40) for j in range(i + 1, 40) if ci == cj or own[i] != own[j]]
+        assert got == Counter((i, j, round(jac(i, j), 9)) for i, j in both if jac(i, j) >= 0.5)
+
+
 def test_near_filter_keeps_one_of_each_group(spark, odd, empty):
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
