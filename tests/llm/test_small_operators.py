@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -294,6 +296,30 @@ def test_collisions_within_a_bucket_lose_nothing():
     assert [x.tolist() for x in got] == [[0, 1, 2], [4, 5, 9], [6, 5, 20], [0, 1, 0], [5, 5, 7, 0xFFFF0007], [0, 1, 1, 2]]
 
 
+def test_workers_give_memory_back():
+    """A worker that goes on, with something on top of its heap, keeps none of what a task had freed."""
+    script = """
+import random
+import numpy as np, psutil, pyarrow as pa
+from textloom.llm import near_dup
+rng = random.Random(3)
+words = [f"w{k}" for k in range(5000)]
+batch = lambda n, k: pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array([" ".join(rng.choices(words, k=k)) for _ in range(n)])], names=["doc_id", "xx", "t"])
+for _ in near_dup._facts(3)(iter([batch(2, 50)])):
+    pass
+free = [np.ones(8000) for _ in range(4000)]
+pin = np.ones(8000)
+del free
+rss = lambda: psutil.Process().memory_info().rss >> 20
+before = rss()
+for _ in near_dup._facts(3)(iter([batch(2, 50)])):
+    pass
+print(before - rss())
+"""
+    got = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, timeout=120)
+    assert int(got.stdout.split()[-1]) > 150
+
+
 def test_tokens_that_are_rare_in_each_task_come_last():
     """A passage that each of many tasks has once or twice is known as frequent; other words aren't."""
     rng = random.Random(31)
