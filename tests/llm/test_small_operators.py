@@ -685,6 +685,26 @@ def test_texts_with_and_without_matches_are_coded_together(monkeypatch):
         assert np.allclose(lm_scoring.score_batch(data, offs, found, node_counts_of(texts)), want, rtol=1e-5)
 
 
+def test_lanes_are_refilled(monkeypatch):
+    rng = random.Random(62)
+    blocks = sorted((rng.choice([1, 2, 5, 30, 200]) for _ in range(300)), reverse=True)
+    lane, first, load = lm_scoring._lanes(blocks, 8)
+    for k in range(8):
+        own = sorted((f, n) for f, n, x in zip(first.tolist(), blocks, lane.tolist()) if x == k)
+        assert [f for f, _ in own] == [0, *itertools.accumulate(n for _, n in own)][:-1] and sum(n for _, n in own) == load[k]
+    assert sorted(load, reverse=True) == load.tolist() and load[0] - load[-1] <= 5
+    # A text behind others in a lane has the bits that it has alone, with a match or without.
+    texts = [words(rng, n).encode() for n in (300, 1, 40, 7, 150, 90, 2, 25, 60)] + [b"", "É".encode()]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    at, key, _ = lm_scoring.anchors_of(data, offs)
+    every = {k: bytes(data[a : a + 50]) for a, k in zip(at.tolist(), key.view(np.int64).tolist())}
+    found, counts = [every if i % 2 else None for i in range(len(texts))], node_counts_of([t.decode() for t in texts])
+    alone = [lm_scoring.score_batch(np.frombuffer(t, np.uint8), np.array([0, len(t)]), [f], counts)[0] for t, f in zip(texts, found)]
+    for lanes in (1, 2, 3):
+        monkeypatch.setattr(lm_scoring, "LANES", lanes)
+        assert every and np.allclose(lm_scoring.score_batch(data, offs, found, counts), alone, rtol=1e-5)
+
+
 def test_corpus_counts_and_followers(spark, odd, empty):
     rng = random.Random(12)
     text = lambda n: "".join(rng.choice("abcdefgh ijk") for _ in range(n))

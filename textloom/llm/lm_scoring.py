@@ -11,9 +11,9 @@ learn from every bit of the text, UNITS units at a time. The score is the sum
 of the bits' code lengths, over the bytes of the text.
 
 A unit has 5 bits: one for each of the 31 most usual bytes, and three for any
-other byte (a mark and its two halves). Many texts are coded side by side, a
-lane each, from their first unit to their last: numpy does the same units of
-all of them at a time. The hashed table of a text has as many slots as the
+other byte (a mark and its two halves). Many texts are coded side by side in
+lanes, from their first unit to their last: numpy does as many units of all
+lanes at a time. A lane whose text has ended goes on with another. The hashed table of a text has as many slots as the
 text has units, at least.
 
 What is gathered from the corpus: counts of units by the two before, of all
@@ -33,6 +33,7 @@ an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Callable, Iterator, Mapping
@@ -49,7 +50,7 @@ from textloom.llm.shingles import power_sums
 USUAL = b" etaoinshrdlcumfpgwybvkxjqz\n.,-"
 RARE, PLACES = 31, 5
 WINDOW, ANCHOR = 24, 128
-HELD, LANES = 12 << 20, 256
+HELD, LANES = 12 << 20, 64
 #: Units after which weights, tables and map learn what they have seen.
 UNITS = 32
 #: Bits of several blocks, side by side, that are prepared together.
@@ -70,6 +71,8 @@ _CODE[list(USUAL)] = np.arange(len(USUAL))
 _DOWN = np.arange(PLACES, 0, -1, dtype=np.uint8)[:, None]
 _LEAD = (1 << np.arange(PLACES)).astype(np.uint8)[:, None]
 _NEXT = _DOWN - np.uint8(1)
+#: Of each unit the nodes of its bits.
+_PATH = ((np.arange(32) >> _DOWN) | _LEAD).T.astype(np.int64)
 _NODE_MULT, _HASH_MULT = np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
 
 
@@ -239,8 +242,8 @@ class Texts:
                 own = slice(offs[i], offs[i + 1])
                 self._guess(data[own], at[own], *guesses(data[own], f))
         del at
-        #: Scaled log-odds by the corpus's counts, less the text's own: 32 for each context of each text, and where each unit's begin.
-        self.odds, self.row = self._without_own(u, *counts)
+        #: Scaled log-odds of each unit's bits by the corpus's counts, less the text's own.
+        self.odds = self._without_own(u, *counts)
 
     def _guess(self, data: np.ndarray, at: np.ndarray, guess: np.ndarray, state: np.ndarray) -> None:
         """The guessed units of each byte of a text, as long as those before were right."""
@@ -252,11 +255,11 @@ class Texts:
         third = second[guess[second] >> 4 == data[second] >> 4]
         self.guess[at[third] + 2], self.state[at[third] + 2] = guess[third] & 15, state[third]
 
-    def _without_own(self, u: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _without_own(self, u: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
         f = np.float32
         context = (before(u, self.offs, 2).astype(np.int32) << 5) | before(u, self.offs, 1)
         zeros, ones = zeros.astype(f) + f(0.4), ones.astype(f) + f(0.4)
-        table, row, at = [np.zeros(0, np.int8)], np.zeros(len(u) + MOST_BLOCKS * UNITS, np.int32), 0
+        out = np.zeros((len(u) + MOST_BLOCKS * UNITS, PLACES), np.int8)
         for i in range(0, len(self.offs) - 1, 16):
             some = self.offs[i : i + 17]
             a, b = int(some[0]), int(some[-1])
@@ -264,8 +267,10 @@ class Texts:
             seen = np.zeros(16 << 10, bool)
             seen[place] = True
             own = np.flatnonzero(seen)  # the texts' contexts, in dense rows of 32 cells
-            base = ((np.cumsum(seen, dtype=np.int32) - 1) << 5).take(place)
-            n0, n1 = node_counts(np.bincount(base + u[a:b], minlength=len(own) << 5).astype(np.int32))
+            leaf = ((np.cumsum(seen) - 1) << 5).take(place)
+            leaf += u[a:b]
+            times = np.bincount(leaf, minlength=len(own) << 5).astype(np.int32)
+            n0, n1 = node_counts(times)
             used = np.flatnonzero(n0 | n1)
             cell = ((own << 5) & 0x7FFF).take(used >> 5) | (used & 31)
             x = ones.take(cell) - n1.take(used).astype(f)
@@ -274,137 +279,181 @@ class Texts:
             x *= f(1 / SCALE)
             odds = np.zeros(len(n0), np.int8)
             odds[used] = np.rint(x.clip(-127, 127))
-            table.append(odds)
-            np.add(base, at, out=row[a:b], casting="unsafe")
-            at += len(odds)
-        return np.concatenate(table), row
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.negative(x)
-    with np.errstate(over="ignore"):  # 1 / inf is 0
-        np.exp(y, out=y)
-    y += np.float32(1)
-    return np.reciprocal(y, out=y)
-
-
+            leaves = np.flatnonzero(times)
+            number = np.zeros(len(times), np.int64)
+            number[leaves] = np.arange(len(leaves))
+            paths = odds.take((leaves & ~31)[:, None] + _PATH.take(leaves & 31, axis=0))
+            paths.take(number.take(leaf), axis=0, out=out[a:b], mode="clip")
+        return out.ravel()
+
+
+def _lanes(blocks: list[int], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lane and first block there of each text, and each lane's blocks, which fall; blocks: of each text, falling."""
+    lane, first = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
+    loads = [(0, k) for k in range(lanes)]
+    for i, n in enumerate(blocks):
+        first[i], lane[i] = loads[0]
+        heapq.heapreplace(loads, (loads[0][0] + n, loads[0][1]))
+    load = np.zeros(lanes, np.int64)
+    for n, k in loads:
+        load[k] = n
+    order = np.argsort(-load, kind="stable")
+    number = np.empty(lanes, np.int64)
+    number[order] = np.arange(lanes)
+    return number[lane], first, load[order]
+
+
+def _missed(x: np.ndarray, sign: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Bits less their probabilities, of log-odds; sign: 1 or -1 by the bit, 0 where none is."""
+    np.multiply(x, sign, out=out)
+    np.exp(out, out=out)
+    out += np.float32(1)
+    return np.divide(sign, out, out=out)
+
+
+@np.errstate(over="ignore")  # 1 / inf is 0
 def code_lengths(t: Texts, own: np.ndarray) -> np.ndarray:
-    """Bits of texts, a lane each; own: their numbers, by falling length."""
-    f = np.float32
+    """Bits of texts; own: their numbers, by falling length. A lane's texts are coded one behind the other, each from the state that all begin with."""
+    f, windows = np.float32, np.lib.stride_tricks.sliding_window_view
+    bits = np.zeros(len(own))
+    if not len(own):
+        return bits
     start, lens = t.offs[own], t.offs[own + 1] - t.offs[own]
-    lanes = len(own)
+    lanes = min(LANES, len(own))
+    lane, first, load = _lanes((-(-lens // UNITS)).tolist(), lanes)
+    begins = np.argsort(first, kind="stable")
+    edges_of = first[begins]
     slots = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(lens, 1))).astype(np.int64))
-    # A lane's two tables by context are neighbours. The last cell is for what lies behind the end of a text.
-    table = np.zeros(lanes * 1024 + int(slots.sum()) + 1, f)
-    low = np.cumsum(slots + 1024) - slots - 1024
+    # A lane's two tables by context are neighbours; its first text is the longest.
+    cells = np.zeros(lanes, np.int64)
+    np.maximum.at(cells, lane, slots + 1024)
+    table = np.zeros(int(cells.sum()), f)
+    low = np.cumsum(cells) - cells
     mask = (slots - 1).astype(np.uint32)
     # Where no match is, the fourth predictor gives 0; the weights of the other states are kept apart.
-    w = np.empty((3, PLACES, lanes), f)
-    w[:] = np.array(FIRST_WEIGHTS[:3], f)[:, None, None]
-    w_matched = np.empty((3, 4, PLACES, lanes), f)
-    w_matched[:] = np.array(FIRST_WEIGHTS, f)[:, None, None]
-    w_matched = w_matched.ravel()
+    w, w_matched = np.empty((3, PLACES, lanes), f), np.empty((3, 4, PLACES, lanes), f)
+    flat_w = w_matched.ravel()
     steps = np.arange(4)[:, None] * (PLACES * lanes)
-    slope, shift = np.ones((PLACES, lanes), f), np.zeros((PLACES, lanes), f)
+    slope, shift = np.empty((PLACES, lanes), f), np.empty((PLACES, lanes), f)
+    begin_w = np.array(FIRST_WEIGHTS, f)[:, None, None]
     rates, trust = np.array(TABLE_RATES, f)[:, None, None, None], np.array(TRUST, f)
-    bits = np.zeros(lanes)
-    longest = int(lens[0]) if lanes else 0
-    at = 0
+    unit_windows, odds_windows, state_windows = windows(t.padded, UNITS + 3), windows(t.odds, UNITS * PLACES), windows(t.state, UNITS)
+    now = np.zeros(lanes, np.int64)  # each lane's text
+    at, longest = 0, int(load[0])
     while at < longest:
         # What isn't learned is made for several blocks of units at a time.
-        a = int(np.searchsorted(-lens, -at, side="left"))
-        k = max(1, min(STRETCH // (a * PLACES * UNITS), MOST_BLOCKS, -(-(longest - at) // UNITS)))
-        n = k * UNITS
-        full = int(np.searchsorted(-lens, -at - n, side="right"))
-        here = at + np.arange(n)[:, None] < lens[full:a]
-        over = ~here[:, None]
-        place, shape = start[:a] + at, (n, PLACES, a)
-        around, row = (np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, m)[place].T) for x, m in ((t.padded, n + 3), (t.row, n)))
-        around[: max(0, 3 - at)] = 0  # nothing is known from before a text
-        u = around[3:, None]
-        back = [around[3 - d : n + 3 - d] for d in (1, 2, 3)]
-        node = (u >> _DOWN) | _LEAD
-        bit = ((u >> _NEXT) & np.uint8(1)).astype(f)
+        a = int(np.searchsorted(-load, -at, side="left"))
+        k = max(1, min(STRETCH // (a * PLACES * UNITS), MOST_BLOCKS, longest - at))
         blocks = (k, UNITS, PLACES, a)
-        first = (low[:a] + (back[0].astype(np.int64) << 5)).reshape(k, UNITS, 1, a)
-        hashed = ((back[2].astype(np.uint32) << np.uint32(10)) | (back[1].astype(np.uint32) << np.uint32(5)) | back[0]) * np.uint32(0x9E3779B1)
+        new = begins[np.searchsorted(edges_of, at) : np.searchsorted(edges_of, at + k)]
+        text = np.repeat(now[None, :a], k, axis=0)
+        starts: list[list[int]] = [[] for _ in range(k)]
+        for i, b, c in zip(new.tolist(), (first[new] - at).tolist(), lane[new].tolist()):
+            text[b:, c] = i
+            starts[b].append(i)
+        now[:a] = text[-1]
+        done = (np.arange(at, at + k)[:, None] - first[text]) * UNITS
+        place, left = start[text] + done, lens[text] - done
+        ending = bool((left < UNITS).any())
+        around = np.ascontiguousarray(unit_windows[place].transpose(0, 2, 1))
+        np.copyto(around[:, :3], 0, where=np.arange(3)[:, None] < 3 - done[:, None])  # nothing is known from before a text
+        u = around[:, 3:, None]
+        back = [around[:, 3 - d : UNITS + 3 - d] for d in (1, 2, 3)]
+        sign = ((u >> _NEXT) & np.uint8(1)).astype(f)
+        sign *= f(2)
+        sign -= f(1)
+        if ending:
+            over = np.arange(UNITS)[:, None] >= left[:, None]
+            np.copyto(sign, 0, where=over[:, :, None])
+        node = (u >> _DOWN) | _LEAD
         x = node.astype(np.uint32)
         x *= _NODE_MULT
-        x += hashed[:, None]
+        x += (((back[2].astype(np.uint32) << np.uint32(10)) | (back[1].astype(np.uint32) << np.uint32(5)) | back[0]) * np.uint32(0x9E3779B1))[:, :, None]
         x ^= x >> np.uint32(15)
         x *= _HASH_MULT
         x ^= x >> np.uint32(13)
-        x &= mask[:a]
+        x &= mask[text][:, None, None]
+        node = node.astype(np.int64)
         st = np.empty((k, 3, UNITS, PLACES, a), f)
-        np.multiply(t.odds.take(row[:, None] + node, mode="clip").reshape(blocks), f(SCALE), out=st[:, 2])
-        bit = bit.reshape(blocks)
-        # The tables learn by themselves: a few lanes at a time, so that theirs stay in the processor's cache.
+        st.reshape(k, 3, -1, a)[:, 2] = np.ascontiguousarray(odds_windows[place * PLACES].transpose(0, 2, 1))
+        st[:, 2] *= f(SCALE)
+        context = low[:a] + (back[0].astype(np.int64) << 5)
+        # The tables learn by themselves, a few lanes at a time.
         for c in range(0, a, NEAR):
             e = min(a, c + NEAR)
             cell = np.empty((k, 2, UNITS, PLACES, e - c), np.int64)
-            np.add(first[..., c:e], node.reshape(blocks)[..., c:e], out=cell[:, 0])
-            np.add(low[c:e] + 1024, x.reshape(blocks)[..., c:e], out=cell[:, 1])
-            if full < e:
-                np.copyto(cell[..., max(full - c, 0) :], len(table) - 1, where=over[..., max(c - full, 0) : e - full].reshape(k, 1, UNITS, 1, -1))
-            own_bit = np.ascontiguousarray(bit[..., c:e])
-            got = np.empty(cell.shape, f)
+            np.add(node[..., c:e], context[:, :, None, c:e], out=cell[:, 0])
+            cell[:, 1] = x[..., c:e]
+            cell[:, 1] += low[c:e] + 1024
+            signs = np.ascontiguousarray(sign[..., c:e])
+            got = st[:, :2] if e - c == a else np.empty(cell.shape, f)
+            miss = np.empty(cell.shape[1:], f)
             for b in range(k):
+                for i in starts[b]:
+                    if c <= lane[i] < e:
+                        table[low[lane[i]] : low[lane[i]] + 1024 + slots[i]] = 0
                 table.take(cell[b], out=got[b], mode="clip")
-                miss = _sigmoid(got[b])
-                np.subtract(own_bit[b], miss, out=miss)
+                _missed(got[b], signs[b], miss)
                 miss *= rates
                 np.add.at(table, cell[b].ravel(), miss.ravel())
-            st[:, :2, ..., c:e] = got
+            if e - c < a:
+                st[:, :2, ..., c:e] = got
         # The bits of a match, each with the weights of its state.
-        state = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t.state, n)[place].T)
-        state[:, full:] *= here
+        state = state_windows[place]
+        if ending:
+            state *= np.arange(UNITS) < left[..., None]
+        some = np.flatnonzero(state)
         edges = None
-        if state.any():
-            guess = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t.guess, n)[place].T)
-            some = np.flatnonzero((((guess[:, None] ^ u) >> _DOWN) == 0) & (state > 0)[:, None])
-            edges = np.searchsorted(some, np.arange(k + 1) * (UNITS * PLACES * a)).tolist()
-            q = some // a
-            col, unit = some - q * a, q // PLACES
-            j = q - unit * PLACES
-            cells = unit * a + col
-            kind = state.ravel().take(cells).astype(np.int64)
+        if len(some):
+            kind, own_block = state.ravel().take(some), some // UNITS
+            unit = some - own_block * UNITS
+            source = place.ravel().take(own_block) + unit
+            guess = t.guess.take(source)
+            m, j = np.nonzero((((guess ^ t.padded.take(source + 3)) >> _DOWN) == 0).T)
+            kind, guess, unit, own_block = (v.take(m) for v in (kind.astype(np.int64), guess, unit, own_block))
+            edges = np.searchsorted(own_block, np.arange(k + 1) * a).tolist()
+            col = own_block % a
+            cells = (unit * PLACES + j) * a + col
             own_w = (kind - 1) * (4 * PLACES * lanes) + j * lanes + col + steps  # of each input and bit
-            own_st = np.empty((4, len(some)), f)
-            np.multiply(trust.take(kind), ((guess.ravel().take(cells) >> (PLACES - 1 - j).astype(np.uint8)) & np.uint8(1)) * f(2) - f(1), out=own_st[3])
+            own_st = np.empty((4, len(m)), f)
+            np.multiply(trust.take(kind), ((guess >> (PLACES - 1 - j).astype(np.uint8)) & np.uint8(1)) * f(2) - f(1), out=own_st[3])
         right = np.empty((k, UNITS, a), f)
+        dot, err, z = (np.empty(blocks[1:], f) for _ in range(3))
         for b in range(k):
-            dot = np.einsum("iuja,ija->uja", st[b], w[:, :, :a])
-            if edges and edges[b] < edges[b + 1]:
+            if starts[b]:
+                c = lane[starts[b]]
+                w[..., c], w_matched[..., c], slope[:, c], shift[:, c] = begin_w[:3], begin_w, 1, 0
+            s, inputs = sign[b], st[b]
+            np.einsum("iuja,ija->uja", inputs, w[:, :, :a], out=dot)
+            matched = edges and edges[b] < edges[b + 1]
+            if matched:
                 e = slice(edges[b], edges[b + 1])
-                cells = some[e] - b * (UNITS * PLACES * a)
-                own_st[:3, e] = st[b].reshape(3, -1).take(cells, axis=1)
-                dot.ravel()[cells] = np.einsum("ix,ix->x", own_st[:, e], w_matched.take(own_w[:, e]))
-            # The refined prediction: a logistic map of the mixed one.
-            z = dot * slope[:, :a]
+                own_st[:3, e] = inputs.reshape(3, -1).take(cells[e], axis=1)
+                dot.ravel()[cells[e]] = np.einsum("ix,ix->x", own_st[:, e], flat_w.take(own_w[:, e]))
+            # The refined prediction: a logistic map of the mixed one. At first how far it misses the bit, 1 - LEAST at most.
+            np.multiply(dot, slope[:, :a], out=z)
             z += shift[:, :a]
-            z = _sigmoid(z)
+            _missed(z, s, z)
             z *= f(1 - 2 * LEAST)
-            z += f(LEAST)
-            wrong = np.subtract(bit[b], z, out=z)
-            np.multiply.reduce(f(1) - np.abs(wrong), axis=1, out=right[b])  # 1e-18 at least
+            np.multiply(s, f(LEAST), out=err)
+            z += err
+            np.subtract(f(1), np.abs(z, out=err), out=err)
+            np.multiply.reduce(err, axis=1, out=right[b])  # 1e-18 at least
             # Learning, from all bits of these units at once.
-            err = bit[b] - _sigmoid(dot)
-            if full < a:
-                ended = over[b * UNITS : (b + 1) * UNITS]
-                np.copyto(wrong[..., full:], 0, where=ended)
-                np.copyto(err[..., full:], 0, where=ended)
-            shift[:, :a] += f(MAP_RATE) * wrong.sum(axis=0)
-            slope[:, :a] += f(MAP_RATE) * np.einsum("uja,uja->ja", wrong, dot)
-            if edges and edges[b] < edges[b + 1]:
-                own_err = err.ravel().take(cells)
+            shift[:, :a] += f(MAP_RATE) * z.sum(axis=0)
+            z *= dot
+            slope[:, :a] += f(MAP_RATE) * z.sum(axis=0)
+            _missed(dot, s, err)
+            if matched:
+                own_err = err.ravel().take(cells[e])
                 own_err *= f(RATE)
-                err.ravel()[cells] = 0
-                np.add.at(w_matched, own_w[:, e].ravel(), (own_st[:, e] * own_err).ravel())
-            w[:, :, :a] += f(RATE) * np.einsum("iuja,uja->ija", st[b], err)
-        right = right.reshape(n, a)
-        np.copyto(right[:, full:], 1, where=over[:, 0])
-        bits[:a] -= np.log(right, out=right).sum(axis=0, dtype=np.float64)
-        at += n
+                err.ravel()[cells[e]] = 0
+                np.add.at(flat_w, own_w[:, e].ravel(), (own_st[:, e] * own_err).ravel())
+            w[:, :, :a] += f(RATE) * np.einsum("iuja,uja->ija", inputs, err)
+        if ending:
+            np.copyto(right, 1, where=over)
+        np.add.at(bits, text.ravel(), -np.log(right, out=right).sum(axis=1, dtype=np.float64).ravel())
+        at += k
     return bits / math.log(2)
 
 
@@ -415,9 +464,7 @@ def score_batch(data: np.ndarray, offs: np.ndarray, found: list[Mapping[int, byt
     out = np.zeros(len(n))
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
-    for s in range(0, len(order), LANES):
-        own = order[s : s + LANES]
-        out[own] = code_lengths(t, own)
+    out[order] = code_lengths(t, order)
     return out
 
 
