@@ -1,5 +1,8 @@
 """Encodings inside the operators, against plain versions."""
 
+import math
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 
@@ -39,3 +42,32 @@ def test_packed_pairs_and_texts_come_back():
     rows = list(near_dup.unpack_texts(out.column("blob")[0].as_py(), 3))
     want = list(near_dup.shingle_sets(pa.array([t.decode() for t in texts]), 3))
     assert [r[:4] for r in rows] == [(1, 5, 1, 0), (-2, 6, 2, 1), (3, 6, 3, 0), (4, 5, 4, 1)] and all((r[4] == w).all() for r, w in zip(rows, want))
+
+
+def test_many_buckets_make_postings_little_larger():
+    """Of a larger table a text's tokens lie in more buckets; what is known of its family isn't sent to each of them."""
+    rng = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 30000, 120)) for _ in range(2000)])
+    known = SimpleNamespace(value=(np.zeros(1 << 10, np.uint8), np.zeros(near_dup.CELLS, np.uint16)))
+    none = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    size, seen = {}, {}
+    for buckets in (8, 400):
+        (out,) = near_dup._postings(3, 0.5, buckets, known, none)(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]))
+        size[buckets] = sum(map(len, out.column("blob").to_pylist()))
+        seen[buckets] = sum(len(near_dup.unpack(x)[4]) for x in out.column("blob").to_pylist())
+        assert out.column("ends").value_lengths().to_pylist() == [near_dup.together(buckets) + 1] * out.num_rows
+    assert seen[8] == seen[400] == sum(near_dup.prefix_len(118, 0.5) for _ in range(2000))
+    assert size[400] < 1.6 * size[8]
+
+
+def test_classes_with_groups_of_buckets(spark, monkeypatch):
+    """As with one bucket after the other."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 40, 30))) for k in range(60)]
+    rows += [(100 + k, t + " and some more") for k, t in rows[:30]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, near_dup.near_classes(docs).collect()))
+    assert max(r[2] for r in want) > 0
+    monkeypatch.setattr(near_dup, "_PER_BUCKET", 8)
+    assert near_dup.together(math.ceil(60 * 28 / 2 / 8)) > 1
+    assert sorted(map(tuple, near_dup.near_classes(docs).collect())) == want
