@@ -14,11 +14,14 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Literal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrays import ngrams
+from textloom.functions.batches import in_parts, lists
 from textloom.functions.stemmer import STEMMERS
 from textloom.functions.stopwords import STOPWORDS
 from textloom.functions.tokenize import SPACE, chain
@@ -165,25 +168,18 @@ def ngram(low: int, high: int, sep: str = " ") -> Hook:
 
 
 def stem(language: str = "en") -> Hook:
-    """Stems (Porter's for en, Snowball's for da, de, no, sv), in Arrow batches: each distinct token of a batch is stemmed once."""
+    """Stems (Porter's for en, Snowball's for da, de, no, sv), in parts of Arrow batches: each distinct token of a part is stemmed once."""
     if language not in STEMMERS:
         raise ValueError(f"no stemmer for {language}; there are {', '.join(STEMMERS)}")
     stemmer = STEMMERS[language]
 
-    @F.pandas_udf("array<string>")
-    def run(tokens: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
+    def run(rows: pa.Array) -> pa.Array:
+        flat = pc.list_flatten(rows).cast(pa.string()).dictionary_encode()
+        stems = pa.array([None if t is None else stemmer(t) for t in flat.dictionary.to_pylist()], pa.string())
+        offs = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offs), stems.take(flat.indices), mask=rows.is_null())
 
-        def of(t: str | None) -> str | None:
-            if t is None:
-                return None
-            if t not in known:
-                known[t] = stemmer(t)
-            return known[t]
-
-        return tokens.map(lambda row: None if row is None else [of(t) for t in row])
-
-    return on_tokens(run)
+    return on_tokens(in_parts("array<string>", run))
 
 
 def lemmatize(lookup: Mapping[str, str]) -> Hook:
@@ -195,11 +191,7 @@ def lemmatize(lookup: Mapping[str, str]) -> Hook:
         return on_tokens(lambda tokens: F.transform(tokens, lambda t: F.coalesce(F.try_element_at(F.create_map(*flat), t), t)))
     table = dict(lookup)
 
-    @F.pandas_udf("array<string>")
-    def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda row: None if row is None else [table.get(t, t) for t in row])
-
-    return on_tokens(run)
+    return on_tokens(in_parts("array<string>", lists(lambda rows: [None if row is None else [table.get(t, t) for t in row] for row in rows], pa.list_(pa.string()))))
 
 
 # Casing
@@ -306,15 +298,122 @@ def yake_scores(text: str, stop: frozenset[str], longest: int = 3) -> list[tuple
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def rake_phrases(texts: pa.Array, stop: frozenset[str]) -> pa.Array:
+    """The phrases of rake_scores, of each text."""
+    return pa.array([None if t is None else [p for p, _ in rake_scores(t, stop)] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+_YAKE_PART = re.compile(r"[\w'\-]+|[.!?\n]+")
+#: Words of texts that are held side by side, at most: three of them fit one long.
+_YAKE_WORDS = (1 << 21) - 2
+
+
+def _logs(n: int, of: Callable[[int], float]) -> np.ndarray:
+    return np.array([0.0, *(of(k) for k in range(1, n + 1))])
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def yake_phrases(texts: pa.Array, stop: frozenset[str], longest: int = 3) -> pa.Array:
+    """The phrases of yake_scores, of each text, by the same operations on arrays of all texts' words."""
+    one_by_one = lambda: pa.array([None if t is None else [p for p, _ in yake_scores(t, stop, longest)] for t in texts.to_pylist()], pa.list_(pa.string()))
+    if longest != 3:
+        return one_by_one()
+    parts = [_YAKE_PART.findall(t) if t is not None else [] for t in texts.to_pylist()]
+    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    coded = pa.array([w for p in parts for w in p], pa.string()).dictionary_encode()
+    surface, code = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+    del parts, coded
+    is_word = np.array([w[0] not in ".!?\n" for w in surface], dtype=bool)[code]
+    # Sentences are the words between marks; those without words don't count.
+    begin = np.r_[True, ~is_word[:-1] | (doc[1:] != doc[:-1])][is_word] if len(code) else np.zeros(0, bool)
+    doc, code = doc[is_word], code[is_word]
+    total = len(code)
+    if not total:
+        return pa.array([[] if ok else None for ok in texts.is_valid().to_pylist()], pa.list_(pa.string()))
+    low = [w.lower() for w in surface]
+    names = sorted(set(low))
+    rank = {w: k for k, w in enumerate(names)}
+    name = np.array([rank[w] for w in low], np.int64)[code]
+    stops = np.array([w in stop for w in names], dtype=bool)
+    sentence = np.cumsum(begin) - 1
+    first_of = np.searchsorted(doc, np.arange(len(texts)))
+    place = sentence - np.r_[sentence, 0][first_of][doc]
+    n_sentences = np.bincount(doc[begin], minlength=len(texts))
+    # A text's words, by text and then in the order of their code points.
+    pairs, first, u, tf = np.unique(doc * len(names) + name, return_index=True, return_inverse=True, return_counts=True)
+    if len(pairs) > _YAKE_WORDS:
+        return one_by_one()
+    of, is_stop = pairs // len(names), stops[pairs % len(names)]
+    upper = np.bincount(u[np.array([w[:1].isupper() for w in surface], dtype=bool)[code] & ~begin], minlength=len(pairs))
+    by_word = np.argsort(u, kind="stable")
+    start = np.cumsum(tf) - tf
+    middle = place[by_word[start + tf // 2]]
+    n_places = np.bincount(u[by_word][_firsts(u[by_word], place[by_word])], minlength=len(pairs))
+    at = np.flatnonzero(~begin)
+
+    def around(word: np.ndarray, beside: np.ndarray) -> np.ndarray:
+        """How many different words are beside one, over how many there are."""
+        kinds = np.unique(word * len(pairs) + beside) // len(pairs)
+        return np.bincount(kinds, minlength=len(pairs)) / np.maximum(1, np.bincount(word, minlength=len(pairs)))
+
+    dl, dr = around(u[at], u[at - 1]), around(u[at - 1], u[at])
+    own = np.flatnonzero(~is_stop)
+    own = own[np.argsort(first[own], kind="stable")]
+    edges = np.searchsorted(of[own], np.arange(len(texts) + 1))
+    usual, counted = np.zeros(len(texts)), tf[own].tolist()
+    for d in np.unique(of[own]).tolist():
+        content = counted[edges[d] : edges[d + 1]]
+        mean = sum(content) / len(content)
+        usual[d] = mean + math.sqrt(sum((n - mean) ** 2 for n in content) / len(content))
+    most = np.zeros(len(texts), np.int64)
+    np.maximum.at(most, of, tf)
+    case = upper / (1 + _logs(int(tf.max()), math.log)[tf])
+    where = _logs(int(middle.max()) + 3, lambda k: math.log(math.log(k)) if k > 1 else 0.0)[middle + 3]
+    related = 1 + (dl + dr) * tf / most[of]
+    with np.errstate(divide="ignore"):  # texts of stop words alone, which have no phrases
+        score = related * where / (case + tf / usual[of] / related + n_places / n_sentences[of] / related)
+    # Phrases by their words' numbers; they come out by text and in alphabetical order, as no letter comes before the space.
+    sent_end = np.r_[np.flatnonzero(begin)[1:], total][sentence]
+    grams = []
+    good = ~is_stop[u]
+    for n in (1, 2, 3):
+        i = np.flatnonzero(good[: total - n + 1] & good[n - 1 :] & (np.arange(n, total + 1) <= sent_end[: total - n + 1]))
+        words = [u[i + k] + 1 if k < n else np.zeros(len(i), np.int64) for k in range(3)]
+        grams.append((words[0] << 42) | (words[1] << 21) | words[2])
+    grams, n = np.unique(np.concatenate(grams), return_counts=True)
+    words = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF], axis=1) - 1
+    there = words >= 0
+    counts = there & ~is_stop[words]
+    s = np.where(counts, score[words], 0.0)
+    product = np.where(counts[:, 0], s[:, 0], 1.0) * np.where(counts[:, 1], s[:, 1], 1.0) * np.where(counts[:, 2], s[:, 2], 1.0)
+    # The sum as Python's sum() has it, with what is lost by rounding.
+    total2 = s[:, 0] + s[:, 1]
+    lost = np.where(s[:, 0] >= s[:, 1], (s[:, 0] - total2) + s[:, 1], (s[:, 1] - total2) + s[:, 0])
+    total3 = total2 + s[:, 2]
+    lost += np.where(total2 >= s[:, 2], (total2 - total3) + s[:, 2], (s[:, 2] - total3) + total2)
+    value = product / (n * (1 + (total3 + lost)))
+    text = of[words[:, 0]]
+    order = np.lexsort((value, text))
+    there = there[order]
+    each = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32)), pa.array(names, pa.string()).take(pa.array(pairs[words[order][there]] % len(names))))
+    phrases = pc.binary_join(each, " ")
+    offs = np.r_[0, np.cumsum(np.bincount(text, minlength=len(texts)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), phrases, mask=texts.is_null())
+
+
 def keywords(method: str = "rake", language: str = "en", **options) -> Hook:
-    """The tokens become the raw text's phrases, best first. In Arrow batches, outside the JVM."""
-    scorers = {"rake": rake_scores, "yake": yake_scores}
+    """The tokens become the raw text's phrases, best first. In parts of Arrow batches, outside the JVM."""
+    scorers = {"rake": rake_phrases, "yake": yake_phrases}
     if method not in scorers:
         raise ValueError("method is rake or yake")
     stop, fn = frozenset(STOPWORDS[language]), scorers[method]
 
-    @F.pandas_udf("array<string>")
-    def run(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda t: None if t is None else [p for p, _ in fn(t, stop, **options)])
-
+    run = in_parts("array<string>", lambda raw: fn(raw, stop, **options))
     return post(lambda raw, tokens: (raw, run(raw)))

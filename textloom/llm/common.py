@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,26 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.batches import give_back  # noqa: F401
 from textloom.storage import fresh_path, if_small as maybe_broadcast, shared_dir, written  # noqa: F401
 
 
-try:
-    _trim = ctypes.CDLL(None).malloc_trim
-except (AttributeError, OSError, TypeError):  # not glibc
-    _trim = None
-
-
-def give_back(bytes_used: int = 1 << 62) -> None:
-    """Free memory goes back to the system: Python workers are kept between tasks, and idle ones count beside the JVM.
-
-    After little work (bytes_used under 1 MB) nothing is done.
-    """
-    if bytes_used >= 1 << 20:
-        pa.default_memory_pool().release_unused()
-        if _trim:
-            _trim(0)
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
