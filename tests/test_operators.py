@@ -458,3 +458,24 @@ def test_models(spark):
     assert all(r["prediction"][0] == r["labels"][0] and r["prediction"][1:] == [0, 0] for r in out.collect())
     assert experiment.multilabel_metrics(out).first()["macro_recall"] == round(1 / 3, 6)
     assert math.isclose(experiment.multilabel_metrics(out).first()["micro_recall"], round(12 / 36, 6))
+
+
+def test_context_in_tiles(spark, monkeypatch):
+    """Many siblings, and siblings with nodes below them, in runs and tasks of their own."""
+    monkeypatch.setattr(tree, "_TILE_NODES", 7)
+    monkeypatch.setattr(tree, "_TILE_KIDS", 3)
+    facts = [(0, None, [])]
+    for _ in range(40):
+        top = len(facts)
+        facts.append((top, 0, [0]))
+        facts += [(top + 1 + k, top, [0, top]) for k in range(top % 4)]
+    nodes = spark.createDataFrame(facts, "node_id long, parent_id long, path array<long>")
+    for levels in (None, 0):
+        got = tree.context(nodes, levels)
+        want = set()
+        for n, _, path in facts[1:]:
+            up = path if levels is None else path[-levels - 1 :]
+            want |= {(n, up[0])} | {(n, m) for m, p, _ in facts if p in up and m < n}
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(want) and set(found) == want
+        assert len({r[0] for r in got.select(F.spark_partition_id()).distinct().collect()}) > 4
