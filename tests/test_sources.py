@@ -149,3 +149,11 @@ import __spark_entry__ as e
 assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_xml_is_read_once_for_all_names(spark):
+    texts = ["<a><name>x &amp; y</name><brand/></a>", "<name>top<brand>b</brand></name>", "<a><brand>z</brand><name></name><name>2</name></a>", "<a><name> sp\n</name><brand><i>q</i>r</brand></a>"]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    parsed = records.parse(x, "x", "xml", names=["name", "brand"])
+    assert [(r["name"], r["brand"]) for r in parsed.orderBy("i").collect()] == [("x & y", ""), ("topb", "b"), ("", "z"), (" sp\n", "qr")]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().lower().count("(xpath") == 1

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.arrays import let
+
 FORMATS = ("list", "dict", "csv", "json", "xml", "tree")
 
 
@@ -36,12 +38,15 @@ def from_csv(text: Column, schema: str, delimiter: str = ",") -> Column:
 def from_xml(text: Column, names: Sequence[str]) -> Column:
     """A struct of the first element of each name below the root, or of the root itself; one that's missing is an error."""
 
-    def value(n: str) -> Column:
-        t = F.lit(f"/*/{n}[1]"), F.lit(f"/{n}"), F.lit(f"boolean(/*/{n} | /{n})")
-        found = F.coalesce(F.nullif(F.xpath_string(text, t[0]), F.lit("")), F.xpath_string(text, t[1]))
-        return F.when(F.xpath_boolean(text, t[2]), found).otherwise(F.raise_error(F.lit(f"the XML has no {n}")).cast("string")).alias(n)
+    # One expression of all that is asked, so that a text is read once. XML can't have the separator.
+    asked = [x for n in names for x in (f"boolean(/*/{n} | /{n})", f"/*/{n}[1]", f"/{n}")]
+    found = F.split(F.xpath_string(text, F.lit("concat(" + ", '\x01', ".join([*asked, "''"]) + ")")), "\x01", -1)
+
+    def value(p: Column, i: int, n: str) -> Column:
+        known = F.coalesce(F.nullif(F.get(p, i + 1), F.lit("")), F.get(p, i + 2))
+        return F.when(F.get(p, i) == "true", known).otherwise(F.raise_error(F.lit(f"the XML has no {n}")).cast("string")).alias(n)
 
-    return F.struct(*(value(n) for n in names))
+    return let(found, lambda p: F.struct(*(value(p, 3 * k, n) for k, n in enumerate(names))))
 
 
 # Trees in brackets
