@@ -157,3 +157,15 @@ def test_xml_is_read_once_for_all_names(spark):
     parsed = records.parse(x, "x", "xml", names=["name", "brand"])
     assert [(r["name"], r["brand"]) for r in parsed.orderBy("i").collect()] == [("x & y", ""), ("topb", "b"), ("", "z"), (" sp\n", "qr")]
     assert parsed._jdf.queryExecution().optimizedPlan().toString().lower().count("(xpath") == 1
+
+
+def test_labelled_texts_are_written_by_many_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from textloom.plans import catalogue
+
+    spark.range(400).selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 3 - 1 as double) as s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["read_labelled_texts"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((f"s{k}", "pos" if k % 3 else "neg") for k in range(400))
+    files = [Path(f).name for f in got.inputFiles()]
+    assert len(files) == 400 and len({f.split("-")[1] for f in files}) > 8
