@@ -180,3 +180,15 @@ def test_stems_of_other_languages(spark):
     f = Field("t", None, hooks=(hooks.stem("de"),))
     assert Schema({"t": f}).apply(rows.withColumn("r", F.lit(1)), "r").first().t == ["haus", "katz", "haus"]
     assert all(fn("") == "" and fn("a") == "a" for fn in STEMMERS.values())
+
+
+def test_rules_without_expressions_replace_bytes(spark):
+    """Plain ones aren't compiled; signs that are rare are searched for, not what stands before them."""
+    df = spark.createDataFrame([("aÃ©b ä$",)], "t string")
+    out = df.select(tokenize.chain(F.col("t"), [("Ã©", "é"), ("ä", "ae"), (r"\$", "!"), ("b", r"\$")]).alias("x"))
+    assert out.first()["x"] == "aé$ ae!"
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 2
+    texts = ["a,b", "1,2", "1,b", "a,2", ",", "x,", ".,5", "'a' b'c d' '", "end.", "end..", "A.", "a .", "a'b'c", "9'", "''"]
+    assert many(spark, texts, tokenize.toktok) == [["a", ",", "b"], ["1,2"], ["1", ",", "b"], ["a", ",", "2"], [","], ["x", ","], [".", ",", "5"], ["'", "a", "'", "b'c", "d", "'", "'"], ["end", "."], ["end", ".."], ["A", "."], ["a", "."], ["a'b'c"], ["9", "'"], ["'", "'"]]
+    mails = "a@b.cd+x@y.zz a@b.cd_%x@y.zz .@. x@y @q.de a@b.c-d@e.f"
+    assert one(spark, mails, hooks.cleanup(replace_email="E")) == "EE EE .@. x@y @q.de E@e.f"

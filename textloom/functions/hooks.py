@@ -77,10 +77,11 @@ def regex_replace(rules: Iterable[tuple[str, str]]) -> Hook:
 
 
 PUNCT = r"[\p{P}\p{S}]"
-_URL = r"(?i)(?:https?://|ftp://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)\]}']"
-_EMAIL = r"(?i)[a-z0-9._%+\-]+@[a-z0-9\-]+(?:\.[a-z0-9\-]+)+"
-_PHONE = r"(?<![\w.])(?:\+?\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{3})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w])"
-_NUMBER = r"(?<![\w.,])[+\-]?(?:\d+(?:[.,]\d+)*)(?![\w])"
+_URL = r"(?i)(?=[hfw])(?:https?://|ftp://|www\.)[^\s<>\"]*[^\s<>\".,;:!?)\]}']"
+#: From the start of a run, or where the last match ended: elsewhere in a run none begins that doesn't begin before.
+_EMAIL = r"(?i)(?:(?<![a-z0-9._%+\-])|\G)[a-z0-9._%+\-]++@[a-z0-9\-]+(?:\.[a-z0-9\-]+)+"
+_PHONE = r"(?=[+(\d])(?<![\w.])(?:\+?\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{3})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w])"
+_NUMBER = r"(?=[+\-\d])(?<![\w.,])[+\-]?(?:\d+(?:[.,]\d+)*)(?![\w])"
 _MOJIBAKE = [("â€™", "’"), ("â€œ", "“"), ("â€\u009d", "”"), ("â€“", "–"), ("â€”", "—"), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¼", "ü"), ("Ã¶", "ö"), ("Ã¤", "ä"), ("Ã±", "ñ")]
 _PLAIN = {
     "áàâãåāăąÁÀÂÃÅĀĂĄ": "aaaaaaaaAAAAAAAA", "çćčÇĆČ": "cccCCC", "ďđĎĐ": "ddDD", "éèêëēėęěÉÈÊËĒĖĘĚ": "eeeeeeeeEEEEEEEE", "íìîïīįÍÌÎÏĪĮ": "iiiiiiIIIIII", "ñńňÑŃŇ": "nnnNNN",
@@ -124,7 +125,7 @@ def cleanup(
     if remove_punct:
         kept = "".join(re.escape(c) for x in (replace_url, replace_email, replace_phone_number, replace_number, replace_digit, replace_currency_symbol) for c in x or "" if not c.isalnum())
         later.append((f"(?![{kept}]){PUNCT}" if kept else PUNCT, ""))
-    later += [(r"\s*[\r\n]+\s*", " ")] if remove_line_breaks else [(r"[^\S\r\n]*(?:\r\n|\r|\n)\s*", "\n")]
+    later += [(r"\s*[\r\n]+\s*", " ")] if remove_line_breaks else [(r"[^\S\r\n]*+(?:\r\n|\r|\n)\s*", "\n")]
     later += [(r"[^\S\r\n]+", " ")]
 
     def run(text: Column) -> Column:
