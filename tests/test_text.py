@@ -192,3 +192,14 @@ def test_rules_without_expressions_replace_bytes(spark):
     assert many(spark, texts, tokenize.toktok) == [["a", ",", "b"], ["1,2"], ["1", ",", "b"], ["a", ",", "2"], [","], ["x", ","], [".", ",", "5"], ["'", "a", "'", "b'c", "d", "'", "'"], ["end", "."], ["end", ".."], ["A", "."], ["a", "."], ["a'b'c"], ["9", "'"], ["'", "'"]]
     mails = "a@b.cd+x@y.zz a@b.cd_%x@y.zz .@. x@y @q.de a@b.c-d@e.f"
     assert one(spark, mails, hooks.cleanup(replace_email="E")) == "EE EE .@. x@y @q.de E@e.f"
+
+
+def test_truecase_with_one_frequent_word(spark, monkeypatch):
+    """Frequent words are broadcast, the others are joined; tokens of neither stay."""
+    monkeypatch.setattr(hooks, "_HOT_WORDS", 1)
+    df = spark.createDataFrame([(1, ["X", "the", "the", "Paris", "Paris", "paris"]), (2, ["THE", "PARIS", "new", None])], "i long, t array<string>")
+    model = hooks.truecase_model(df.filter("i = 1"), "t", "i")
+    out = hooks.truecase(df, "t", "i", model, "lower")
+    assert "ResolvedHint" in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["i"], r["pos"]): r["token"] for r in out.collect()}
+    assert got == {(1, 0): "x", (1, 1): "the", (1, 2): "the", (1, 3): "Paris", (1, 4): "Paris", (1, 5): "Paris", (2, 0): "the", (2, 1): "Paris", (2, 2): "new", (2, 3): None}

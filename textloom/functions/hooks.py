@@ -25,6 +25,7 @@ from textloom.functions.batches import in_parts, lists
 from textloom.functions.stemmer import STEMMERS
 from textloom.functions.stopwords import STOPWORDS
 from textloom.functions.tokenize import SPACE, chain
+from textloom.storage import written
 
 
 @dataclass(frozen=True)
@@ -197,6 +198,9 @@ def lemmatize(lookup: Mapping[str, str]) -> Hook:
 
 # Casing
 
+#: Words of a casing model that are sent to all tasks.
+_HOT_WORDS = 1 << 16
+
 
 def truecase_model(df: DataFrame, tokens: str, row_id: str) -> DataFrame:
     """lower, best, freq: of each word the casing that comes most; ties: the first by code points.
@@ -215,7 +219,11 @@ def truecase(df: DataFrame, tokens: str, row_id: str, model: DataFrame, oov: str
         raise ValueError("oov is title, lower or as-is")
     other = {"title": F.initcap(F.col("t")), "lower": F.lower("t"), "as-is": F.col("t")}[oov]
     t = df.select(row_id, F.posexplode(F.col(tokens)).alias("pos", "t")).withColumn("lower", F.lower("t"))
-    return t.join(model.select("lower", "best"), "lower", "left").select(row_id, "pos", F.coalesce("best", other).alias("token"))
+    # The most frequent words are broadcast, so that their tokens aren't shuffled; the others are joined.
+    hot = F.broadcast(written(model.orderBy(F.desc("freq"), "lower").limit(_HOT_WORDS).select("lower", "best"), "hot"))
+    t = t.join(hot, "lower", "left")
+    rare = t.filter("best is null").drop("best").join(model.select("lower", "best"), "lower", "left")
+    return t.filter("best is not null").unionByName(rare).select(row_id, "pos", F.coalesce("best", other).alias("token"))
 
 
 # Key phrases
